@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from skein.llm import line_dedup
+from skein.llm import chat_collapse, line_dedup, mixing
 
 QUERIES = {
+    "op4_chat_collapse": chat_collapse.op4_chat_collapse,
+    "op5_mix_sources": mixing.op5_mix_sources,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES = {
+    "op4_chat_collapse": chat_collapse.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
