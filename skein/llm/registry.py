@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_collapse, line_dedup, mixing
+from skein.llm import chat_collapse, langid, line_dedup, mixing
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op4_chat_collapse": chat_collapse.op4_chat_collapse,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op9_line_dedup": line_dedup.op9_line_dedup,
