@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
         base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
+    base = base.rstrip("/")
+    return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
