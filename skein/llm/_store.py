@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect plans that are no longer held, so that Spark deletes their shuffle files now, not in half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(text: str = "text") -> Column:
     """Tells rows that share a doc_id but not a text apart when something is joined back to them."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

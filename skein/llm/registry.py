@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_collapse, langid, line_dedup, mixing, token_store
+from skein.llm import chat_collapse, langid, line_dedup, mixing, substring_dedup, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_store": token_store.op2_token_store,
     "op4_chat_collapse": chat_collapse.op4_chat_collapse,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLES = {
     "op4_chat_collapse": chat_collapse.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }

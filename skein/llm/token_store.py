@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm._store import materialize, partitions, scratch_path
+from skein.llm._store import free_shuffles, materialize, partitions, scratch_path
 from skein.llm._words import slices
 from skein.session import table
 
@@ -195,7 +195,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     tokens = materialize(ordered.mapInArrow(tokenize, "part int, row long, doc_id long, n long, ids binary"), "tokens")
     del ordered
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the texts' shuffle files before the shards are written
+    free_shuffles(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
