@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_collapse, langid, line_dedup, mixing, substring_dedup, token_store
+from skein.llm import chat_collapse, langid, line_dedup, mixing, near_dedup, substring_dedup, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_store": token_store.op2_token_store,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_chat_collapse": chat_collapse.op4_chat_collapse,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_near_dedup": near_dedup.ORACLE,
     "op4_chat_collapse": chat_collapse.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
