@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm._runs import runs
 from skein.llm._store import free_shuffles, materialize, partitions, text_key
 from skein.llm._words import gram_weights, grams, mix64, slices, word_hashes
 from skein.llm.components import connected_components
@@ -154,30 +155,11 @@ def node_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole groups of rows sorted by ``key``, several groups at a time."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy()
-        if kept and kept[-1].column(key)[0].as_py() == k[0] == k[-1]:
-            kept.append(batch)
-            continue
-        last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-        done = pa.Table.from_batches([*kept, batch.slice(0, last)]) if kept or last else None
-        if done is not None and done.num_rows:
-            yield done
-        kept = [batch.slice(last)]
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def small_node_links(members: DataFrame, n: int, percent: int) -> DataFrame:
     """(a, b) from rows (node, id, text) of nodes that fit a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, "node"):
+        for rows in runs(batches, "node"):
             node = rows.column("node").to_numpy()
             edges = np.flatnonzero(np.append(True, node[1:] != node[:-1])).tolist() + [len(node)]
             for a, b in zip(edges, edges[1:], strict=False):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_collapse, langid, line_dedup, mixing, near_dedup, substring_dedup, token_store
+from skein.llm import chat_collapse, decontaminate, embedding_dedup, langid, line_dedup, mixing, near_dedup, substring_dedup, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_chat_collapse": chat_collapse.op4_chat_collapse,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
@@ -17,6 +19,8 @@ QUERIES = {
 ORACLES = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op4_chat_collapse": chat_collapse.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
+    "op7_embedding_dedup": embedding_dedup.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
 }
