@@ -163,3 +163,28 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted table, by their leading bits: a constant number of numpy passes, whatever the table."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.bits = max(1, int(len(table)).bit_length())
+        lead = (table >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.starts = np.searchsorted(lead, np.arange((1 << self.bits) + 1))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        lead = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[lead], self.starts[lead + 1]
+        live = np.flatnonzero(at < end)
+        at, end = at[live], end[live]
+        while len(live):
+            same = self.table[at] == h[live]
+            out[live[same]] = at[same]
+            at = at + 1
+            more = ~same & (at < end)
+            live, at, end = live[more], at[more], end[more]
+        return out

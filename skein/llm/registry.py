@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat_collapse, decontaminate, embedding_dedup, langid, line_dedup, mixing, near_dedup, substring_dedup, token_store
+from skein.llm import chat_collapse, decontaminate, embedding_dedup, langid, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_store
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 
 ORACLES = {
