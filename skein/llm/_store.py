@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,13 +36,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Ask the driver to collect plans that are no longer held, so that Spark deletes their shuffle files now, not in half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Ask the driver to collect plans that are no longer held, so that Spark deletes their shuffle files now, not in half an hour.
+
+    A plan is held by Python, by the gateway and by the JVM, one after the
+    other, hence the rounds.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    path = getattr(table, "_scratch", None)
+    if path:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def text_key(text: str = "text") -> Column:

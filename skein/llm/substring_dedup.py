@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._store import free_shuffles, materialize, partitions, text_key
+from skein.llm._store import discard, free_shuffles, materialize, partitions, text_key
 from skein.llm._words import Words, grams, slices, word_hashes
 from skein.session import table
 
@@ -187,13 +187,16 @@ def factor_hot(found: DataFrame, window: int) -> DataFrame:
     return held.select("doc_id", "tk", (F.col("start") + F.col("o")).alias("s"), (F.col("start") + F.col("o") + window).alias("e"))
 
 
-def duplicate_spans(docs: DataFrame, window: int = 35, seed: int = 10, hot: int = 5_000) -> DataFrame:
+def duplicate_spans(docs: DataFrame, window: int = 35, seed: int = 10, hot: int = 50_000) -> DataFrame:
     """(doc_id, tk, spans array<struct<s, e>>) of the documents that hold a repeated window; spans may overlap."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
     all_anchors = materialize(anchors(keyed, window, seed), "anchors")
-    counts = all_anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a written table, so that the join may split a hot anchor's rows
+    counts = materialize(all_anchors.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "anchor-counts")
+    free_shuffles(spark)
     repeated = materialize(all_anchors.join(counts, "g"), "repeated-anchors")
+    discard(all_anchors)
     free_shuffles(spark)
     places = repeated.groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("places"))
     own = places.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "places")
