@@ -17,7 +17,8 @@ def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
     logarithmic in their diameter. A node's smallest neighbour comes from a
     partial aggregate and is joined back, so a hub's neighbours never gather in
     one task: the aggregate sends one row per task, and adaptive execution may
-    split the join's hot side. Every round is written to the shared folder.
+    split the join's hot side, for which the aggregate is a written table.
+    Every round is written to the shared folder.
     Null ends and self-links are ignored.
     """
     edges = links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
@@ -26,7 +27,7 @@ def connected_components(links: DataFrame, rounds: int = 64) -> DataFrame:
     edges = materialize(edges.distinct(), "links")
     state = _state(edges)
     for _ in range(rounds):
-        edges = materialize(_small_star(_large_star(edges)).distinct(), "stars")
+        edges = materialize(_small_star(materialize(_large_star(edges).distinct(), "large-stars")).distinct(), "stars")
         now = _state(edges)
         if now == state:
             break
@@ -46,14 +47,14 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Edges (u > v): each node links its larger neighbours to the least of itself and its neighbours."""
     both = edges.select(F.col("u").alias("n"), F.col("v").alias("w")).union(edges.select(F.col("v").alias("n"), F.col("u").alias("w")))
-    least = both.groupBy("n").agg(F.least(F.min("w"), F.first("n")).alias("m"))
+    least = materialize(both.groupBy("n").agg(F.min("w").alias("m")).select("n", F.least("n", "m").alias("m")), "least")
     up = both.where("w > n").join(least, "n")
     return up.select(F.col("w").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Edges (u > v): each node links its smaller neighbours, and itself, to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     down = edges.join(least, "u")
     moved = down.select(F.col("v").alias("x"), F.col("m").alias("v"))
     own = least.select(F.col("u").alias("x"), F.col("m").alias("v"))

@@ -14,15 +14,16 @@ probability 1 - (1 - t^2)^T: 0.99996 for t = 0.85, T = 8. Deeper nodes arise onl
 where many documents share tokens.
 
 Dense nodes. What is still large at the last depth agrees on all of a tree's
-tokens, so it is a group of near copies. It is never compared pair by pair: in
-rounds, some not yet linked members become pivots, every member is compared
-with the node's pivots, and members that link to one are settled; rounds go on
-until all members are settled. Each tree draws its own pivots.
+tokens, so it is a group of near copies. Its members are compared with a few
+drawn pivots; then, with the components of all links so far, the members outside
+a node's largest component are compared with every member, by blocks spread over
+tasks. Pairs inside one component are never compared again: they add nothing to
+the result, and everything else is compared, whatever the node's size.
 
 Scale. Shuffled are signatures (4 bytes per function), node keys and, once, the
 texts; only texts of documents in nodes of two or more go to nodes. Node sizes
 are partial aggregates. A node's members meet in one task only up to ``small``.
-Links are spanning (at most members - 1 per node and round) and become
+Links are spanning (at most members - 1 per small node) and become
 components by joins (``components.py``), never on the driver.
 
 Defined cases. No word or null text: empty set, n_shingles 0, links with
@@ -48,7 +49,9 @@ from skein.llm._words import gram_weights, grams, mix64, slices, word_hashes
 from skein.llm.components import connected_components
 from skein.session import table
 
-TREES, DEPTH, FIRST = 8, 12, 2
+TREES, DEPTH = 8, 12
+#: Depths at which a node's size is looked at.
+LEVELS = (2, 3, 5, 8)
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -173,45 +176,62 @@ def small_node_links(members: DataFrame, n: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def dense_node_links(members: DataFrame, n: int, percent: int, pivots: int = 8) -> DataFrame | None:
-    """(a, b) from rows (node, id, text) of nodes too large to compare pair by pair: rounds of pivots.
+def pivot_links(members: DataFrame, n: int, percent: int, pivots: int = 8) -> DataFrame:
+    """(a, b) from rows (node, id, text) of large nodes: each member with the node's few drawn pivots."""
+    draw = F.xxhash64("node", "id")
+    chosen = members.groupBy("node", F.pmod(draw, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(draw.alias("h"), "id")).alias("p"))
+    chosen = chosen.select("node", F.col("p.id").alias("id"))
+    texts = members.join(chosen, ["node", "id"]).groupBy("node").agg(F.collect_list(F.struct("id", "text")).alias("pivots"))
+    rows = members.join(texts, "node").select("node", "id", "text", F.col("pivots.id").alias("pids"), F.col("pivots.text").alias("ptexts"))
 
-    Each round compares every member with the node's pivots, drawn from its
-    unsettled members, and settles the pivots and what links to them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                out = []
+                own = shingle_sets(part.column("text"), n)
+                for node, i, s, pids, ptexts in zip(part.column("node").to_pylist(), part.column("id").to_pylist(), own, part.column("pids").to_pylist(), part.column("ptexts"), strict=True):
+                    if node not in known:
+                        if len(known) >= 64:
+                            known.clear()
+                        known[node] = shingle_sets(pa.array(ptexts.as_py(), pa.string()), n)
+                    for p, q in zip(pids, known[node], strict=True):
+                        if p != i and _similar(len(np.intersect1d(s, q, assume_unique=True)), len(s), len(q), percent):
+                            out.append((i, p))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def rest_links(members: DataFrame, components: DataFrame, n: int, percent: int, block: int = 64) -> DataFrame | None:
+    """(a, b) that complete large nodes: rows (node, id, text), components (id, component) found so far.
+
+    A pair that still joins two components has an end outside its node's
+    largest one, so comparing those outsiders with every member, by blocks,
+    leaves out no link that matters. None if no node has outsiders.
     """
-    spark = members.sparkSession
-    open_ = members.select("node", "id")
-    links: list[DataFrame] = []
-    while not open_.isEmpty():
-        draw = F.xxhash64("node", "id")
-        chosen = open_.groupBy("node", F.pmod(draw, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(draw.alias("h"), "id")).alias("p"))
-        chosen = materialize(chosen.select("node", F.col("p.id").alias("id")), "pivots")
-        texts = members.join(chosen, ["node", "id"]).groupBy("node").agg(F.collect_list(F.struct("id", "text")).alias("pivots"))
-        rows = members.join(texts, "node").select("node", "id", "text", F.col("pivots.id").alias("pids"), F.col("pivots.text").alias("ptexts"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[int, list[np.ndarray]] = {}
-            for batch in batches:
-                for part in slices(batch, "text", 1 << 20):
-                    out = []
-                    own = shingle_sets(part.column("text"), n)
-                    for node, i, s, pids, ptexts in zip(part.column("node").to_pylist(), part.column("id").to_pylist(), own, part.column("pids").to_pylist(), part.column("ptexts"), strict=True):
-                        if node not in known:
-                            if len(known) >= 64:
-                                known.clear()
-                            known[node] = shingle_sets(pa.array(ptexts.as_py(), pa.string()), n)
-                        for p, q in zip(pids, known[node], strict=True):
-                            if p != i and _similar(len(np.intersect1d(s, q, assume_unique=True)), len(s), len(q), percent):
-                                out.append((node, i, p))
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["node", "a", "b"])
-
-        found = materialize(rows.mapInArrow(run, "node long, a long, b long"), "dense-links")
-        links.append(found.select("a", "b"))
-        settled = found.select("node", F.col("a").alias("id")).union(chosen)
-        open_ = materialize(open_.join(settled, ["node", "id"], "left_anti"), "open")
-        free_shuffles(spark)
-    return functools.reduce(DataFrame.union, links) if links else None
+    known = components.select(F.col("id").alias("_id"), "component")
+    at = members.select("node", "id").join(known, F.col("id") == F.col("_id"), "left").select("node", "id", F.coalesce("component", "id").alias("c"))
+    counts = at.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"))
+    major = counts.groupBy("node").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m"), F.sum("k").alias("size"))
+    major = materialize(
+        major.select("node", (-F.col("m.c")).alias("major"), "size", (F.col("size") - F.col("m.k")).alias("outside")).where("outside > 0"), "major-components"
+    )
+    if major.isEmpty():
+        return None
+    left, right = F.ceil(F.col("outside") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
+    open_ = at.join(major, "node").select(
+        "node", "id", (F.col("c") != F.col("major")).alias("out"), left.alias("lefts"), right.alias("rights"), F.xxhash64("id").alias("h")
+    )
+    def every(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    task = F.xxhash64("node", "i", "j").alias("task")
+    inner = open_.withColumn("j", F.pmod("h", F.col("rights"))).withColumn("i", every("lefts")).select(task, "node", "id")
+    outer = open_.where("out").withColumn("i", F.pmod("h", F.col("lefts"))).withColumn("j", every("rights")).select(task, "node", "id")
+    rows = inner.union(outer).join(members, ["node", "id"]).select(F.col("task").alias("node"), "id", "text")
+    return small_node_links(rows, n, percent)
 
 
 def tree_nodes(reps: DataFrame, trees: int, depth: int, small: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +239,8 @@ def tree_nodes(reps: DataFrame, trees: int, depth: int, small: int) -> tuple[Dat
     exploded = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("sig", t * depth + 1, depth))).alias("tree", "path"))
     level = exploded
     small_parts, dense = [], None
-    for d in range(FIRST, depth + 1):
+    steps = [d for d in LEVELS if d < depth] + [depth]
+    for d in steps:
         keyed = level.withColumn("node", F.xxhash64("tree", F.slice("path", 1, d)))
         sizes = keyed.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")
@@ -262,11 +283,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int =
     members = texts.dropDuplicates(["id"]).select(F.col("own").alias("id"), "text", F.explode("nodes").alias("at")).select("at.node", "at.tiny", "id", "text")
     members = materialize(members, "members")
     free_shuffles(spark)
-    found = [small_node_links(members.where("tiny"), n, percent)]
-    many = dense_node_links(members.where("NOT tiny").select("node", "id", "text"), n, percent)
+    large = members.where("NOT tiny").select("node", "id", "text")
     copies = sets.join(classes, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = functools.reduce(DataFrame.union, [*found, *[many] * (many is not None), copies])
+    links = small_node_links(members.where("tiny"), n, percent).union(copies)
+    dense = not large.isEmpty()
+    if dense:
+        links = links.union(pivot_links(large, n, percent))
     comps = materialize(connected_components(links), "components")
+    rest = rest_links(large, comps, n, percent) if dense else None
+    if rest is not None:
+        known = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        comps = materialize(connected_components(rest.union(known)), "components")
     out = feats.select("doc_id", "tk", "n_shingles").join(comps.select(F.col("id").alias("_id"), "component"), F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
