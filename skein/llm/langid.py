@@ -159,10 +159,11 @@ def fit(
         "lang", F.xxhash64("doc_id", "text").alias("r"), F.substring("text", 1, train_chars).alias("text")
     )
     # a hash below the language's limit: of n rows a share of train_docs / n, chosen by what they hold
-    limits = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("lang").alias("of"), (F.least(F.lit(1.0), train_docs / F.col("n")) * float(1 << 32)).cast("long").alias("limit")
-    )
-    sample = rows.join(limits, F.col("lang") == F.col("of")).where(F.shiftrightunsigned("r", 32) < F.col("limit")).select("lang", "text")
+    # (one row a language, as many as the masks have bits)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    limits = [(r.lang, int(min(1.0, train_docs / r.n) * (1 << 32))) for r in sizes]
+    of = F.broadcast(rows.sparkSession.createDataFrame(limits, "of string, limit long"))
+    sample = rows.join(of, F.col("lang") == F.col("of")).where(F.shiftrightunsigned("r", 32) < F.col("limit")).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
