@@ -20,6 +20,9 @@ DEFAULTS = {
 
 def local_session(cores: int | str = 8, app: str = "skein", **conf: str) -> SparkSession:
     """A local session for tests, the bench and the command line."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if here not in os.environ.get("PYTHONPATH", "").split(os.pathsep):  # Python workers import this package
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (here, os.environ.get("PYTHONPATH"))))
     settings = DEFAULTS | {
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": os.environ.get("SKEIN_DRIVER_MEMORY", "8g"),
