@@ -112,6 +112,24 @@ def word_hashes(texts: pa.Array, fold: bool) -> Words:
     return Words(got, np.searchsorted(where, offsets))
 
 
+def span_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Hashes of ascending byte spans, each of at most a piece."""
+    up, down = _powers()
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        base = starts[a]
+        b = int(np.searchsorted(stops, base + PIECE, side="right"))
+        piece = raw[base : stops[b - 1]]
+        sums = np.empty(len(piece) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[piece] * up[: len(piece)], out=sums[1:])
+        s, e = starts[a:b] - base, stops[a:b] - base
+        out[a:b] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        a = b
+    return out
+
+
 def _long_word(raw: np.ndarray, cuts: np.ndarray, at: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """One word of more than a piece of bytes, by the same polynomial, piece by piece."""
     if _SEP[raw[at]]:
