@@ -405,3 +405,58 @@ def debounce_sessions(spark, sf_dir):
 
     changes = table(spark, sf_dir, "events").select(F.col("user_id").alias("project"), "ts", F.col("event_type").alias("path"))
     return debounce(changes, "30 minutes").select("project", "began", "events", F.array_join("paths", ",").alias("paths"))
+
+
+# --- resolution
+
+
+def _synthetic_sources(spark, sf_dir) -> dict[str, DataFrame]:
+    """Customers as Python files, orders as their functions, events as calls; each file imports one name from the next."""
+    c, o, e = (table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
+
+    def file(key):
+        return F.concat(F.lit("c"), key.cast("string"), F.lit(".py"))
+
+    name = F.concat(F.lit("o"), (F.col("o_orderkey") % 50).cast("string"))
+    key = F.col("c_custkey")
+    text = F.lit("")
+    return {
+        "files": c.select(file(key).alias("file"), F.lit("py").alias("lang"), text.alias("content_hash")),
+        "entities": o.select(
+            F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("entity_id"), F.lit("Function").alias("kind"), F.lit("py").alias("lang"),
+            name.alias("qualified"), name.alias("name"), text.alias("owner"), file(F.col("o_custkey")).alias("file"),
+        ),
+        "refs": e.select(
+            F.col("event_id").alias("ref_id"), file(F.col("user_id")).alias("file"), F.lit("py").alias("lang"), F.lit("call").alias("kind"), F.lit("s").alias("src"),
+            F.lit("unqualified").alias("scope"), F.concat(F.lit("o"), (F.col("event_id") % 60).cast("string")).alias("name"), text.alias("member"), text.alias("receiver_type"),
+            F.lit(1).alias("start_line"),
+        ),
+        "imports": c.select(
+            file(key).alias("file"), F.lit("py").alias("lang"), F.lit(0).alias("ord"), F.concat(F.lit("o"), (key % 50).cast("string")).alias("local_name"),
+            F.concat(F.lit(".c"), (key + 1).cast("string")).alias("source"), F.concat(F.lit("o"), (key % 50).cast("string")).alias("imported_name"),
+            F.lit(False).alias("is_namespace"), F.lit(False).alias("is_default"),
+        ),
+        "reexports": spark.createDataFrame([], "file string, ord int, source string, is_star boolean, exported_name string, local_alias string"),
+        "ext_methods": spark.createDataFrame([], "file string, entity_id string, name string, extended_type string"),
+        "field_types": spark.createDataFrame([], "file string, lang string, owner string, field string, type string"),
+    }
+
+
+@query("""
+WITH names AS (SELECT o_custkey AS f, 'o' || CAST(o_orderkey % 50 AS VARCHAR) AS name, count(*) AS k, min('e' || CAST(o_orderkey AS VARCHAR)) AS dst FROM orders GROUP BY 1, 2),
+refs AS (SELECT event_id AS ref_id, user_id AS f, 'o' || CAST(event_id % 60 AS VARCHAR) AS name FROM events),
+bare AS (SELECT DISTINCT name FROM names),
+j AS (SELECT r.*, n.k, n.dst, i.c_custkey IS NOT NULL AS imported, t.c_custkey IS NOT NULL AS there, x.k AS k2, x.dst AS dst2, b.name IS NOT NULL AS anywhere
+  FROM refs r LEFT JOIN names n ON n.f = r.f AND n.name = r.name
+  LEFT JOIN customer i ON i.c_custkey = r.f AND 'o' || CAST(i.c_custkey % 50 AS VARCHAR) = r.name
+  LEFT JOIN customer t ON t.c_custkey = r.f + 1
+  LEFT JOIN names x ON x.f = r.f + 1 AND x.name = r.name
+  LEFT JOIN bare b ON b.name = r.name)
+SELECT ref_id, CASE WHEN k = 1 THEN 'resolved' WHEN k > 1 THEN 'ambiguous' WHEN imported AND NOT there THEN 'bug-extractor' WHEN imported AND k2 = 1 THEN 'resolved'
+  WHEN imported THEN 'bug-resolver' WHEN anywhere THEN 'ambiguous' ELSE 'external-unknown' END AS disposition,
+  CASE WHEN k = 1 THEN dst WHEN k IS NULL AND imported AND there AND k2 = 1 THEN dst2 END AS dst FROM j
+""")
+def resolve_cascade(spark, sf_dir):
+    from skein.operators import resolve
+
+    return resolve.resolve(_synthetic_sources(spark, sf_dir)).select("ref_id", "disposition", "dst")
