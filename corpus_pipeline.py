@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontaminate, langid, mixing, near_dedup, token_store
-from skein.llm._store import materialize, scratch_path, text_key
+from skein.llm._store import materialize, scratch_path, text_key, tuned
 from skein.session import table
 
 #: Share of a text's n-grams that its language must explain.
@@ -60,6 +60,7 @@ STAGES = [
     ("mix_sources", mix_sources),
     ("token_store", write_tokens),
 ]
+STAGES = [(name, tuned(stage)) for name, stage in STAGES]
 
 #: Learning languages and the tokenizer's merges can't be put in SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None

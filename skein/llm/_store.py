@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import time
@@ -71,6 +72,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
-    """Input columns whose names the operator needs for itself."""
-    return df.drop(*[c for c in df.columns if c in names])
+def tuned(query):
+    """``query`` with Arrow batches of documents small enough for two tasks beside a small executor heap."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(spark.conf.get(key)) > 1000:
+            spark.conf.set(key, "1000")
+        return query(spark, *args)
+
+    return run

@@ -71,8 +71,8 @@ def _codes(text: str) -> np.ndarray:
     return _fold_table()[raw]
 
 
-def ngram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, owner, has_letter per text) of the n-grams of ``texts``; words are framed by spaces, a run of non-letters is one."""
+def ngram_hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, owners, has_letter per text), once for each length of n-grams; words are framed by spaces, a run of non-letters is one."""
     pieces, owners = [], []
     letters = np.zeros(len(texts), bool)
     for t, text in enumerate(texts):
@@ -89,9 +89,8 @@ def ngram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         pieces.append(framed)
         owners.append(np.full(len(framed), t, np.int32))
     if not pieces:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), letters
+        return
     codes, own = np.concatenate(pieces), np.concatenate(owners)
-    out_h, out_o = [], []
     acc = codes * _MULT[0]
     inner = np.zeros(len(codes), np.int16)  # spaces inside so far
     for n in range(2, max(NS) + 1):
@@ -105,11 +104,7 @@ def ngram_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             inner = inner[:m]
         if n in NS:
             ok = np.flatnonzero((inner == 0) & (own[:m] == own[n - 1 :]))
-            out_h.append(mix64(acc[ok] + np.uint64(n)))
-            out_o.append(own[ok])
-    if not out_h:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), letters
-    return np.concatenate(out_h), np.concatenate(out_o), letters
+            yield mix64(acc[ok] + np.uint64(n)), own[ok], letters
 
 
 @dataclass
@@ -136,15 +131,16 @@ class Filters:
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         filled = [t or "" for t in texts]
         n, w = len(filled), len(self.langs)
-        h, own, letters = ngram_hashes(filled)
+        total, counts, letters = np.zeros(n), np.zeros((n, w)), np.zeros(n, bool)
         if not w:
-            return ["und"] * n, np.zeros(n)
-        masks = self.languages_of(h)
-        total = np.bincount(own, minlength=n).astype(float)
-        counts = np.zeros((n, w))
-        for i in range(w):
-            bit = (masks[:, i // 64] >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
-            counts[:, i] = np.bincount(own, weights=bit, minlength=n)
+            return ["und"] * n, total
+        for h, own, has in ngram_hashes(filled):
+            letters = has
+            masks = self.languages_of(h)
+            total += np.bincount(own, minlength=n)
+            for i in range(w):
+                bit = (masks[:, i // 64] >> masks.dtype.type(i % 64)) & masks.dtype.type(1)
+                counts[:, i] += np.bincount(own[bit.astype(bool)], minlength=n)
         true = np.clip((counts - total[:, None] * self.fpr) / (1 - self.fpr), 0, None)
         best = true.argmax(1)
         score = np.clip(np.divide(true[np.arange(n), best], total, out=np.zeros(n), where=total > 0), 0, 1)
@@ -169,9 +165,9 @@ def fit(
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 for at in range(0, len(part), 200):
-                    h, _, _ = ngram_hashes(part["text"].iloc[at : at + 200].tolist())
-                    got, n = np.unique(h, return_counts=True)
-                    yield pd.DataFrame({"lang": lang, "h": got.view(np.int64), "n": n})
+                    for h, _, _ in ngram_hashes(part["text"].iloc[at : at + 200].tolist()):
+                        got, n = np.unique(h, return_counts=True)
+                        yield pd.DataFrame({"lang": lang, "h": got.view(np.int64), "n": n})
 
     grams = sample.mapInPandas(count, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     grams = materialize(grams, "lang-grams")
@@ -201,7 +197,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 20):
+            for part in slices(batch, text, 1 << 16):
                 langs, scores = filters.judge(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"]

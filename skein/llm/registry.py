@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skein.llm import chat_collapse, decontaminate, embedding_dedup, langid, line_dedup, lm_score, mixing, near_dedup, substring_dedup, token_store
+from skein.llm._store import tuned
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -17,6 +18,8 @@ QUERIES = {
     "op10_lm_score": lm_score.op10_lm_score,
 }
 
+QUERIES = {name: tuned(query) for name, query in QUERIES.items()}
+
 ORACLES = {
     "op3_near_dedup": near_dedup.ORACLE,
     "op4_chat_collapse": chat_collapse.ORACLE,
