@@ -1,14 +1,17 @@
-"""Command line: ``python -m skein.plans.cli VERB ...``; ``serve`` answers the same verbs over HTTP as JSON."""
+"""Command line: ``python -m skein.plans.cli VERB ...``; ``serve`` answers the same verbs over HTTP, ``mcp`` over standard streams."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
+import threading
+from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
-from skein.plans import render
+from skein.plans import mcp, render
 from skein.plans.service import Service
 from skein.sources import projects, store
 
@@ -50,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     project.add_argument("action", choices=("add", "list", "remove"))
     project.add_argument("name", nargs="?")
     project.add_argument("path", nargs="?")
+    v.add_parser("mcp")
     serve = v.add_parser("serve")
     serve.add_argument("--port", type=int, default=7777)
     return p
@@ -102,8 +106,8 @@ def run(args: argparse.Namespace, spark) -> str:
     raise ValueError(args.verb)
 
 
-def handler(s: Service) -> type[BaseHTTPRequestHandler]:
-    """The read endpoints (and ``decide`` by POST) of one project."""
+def handler(services: Callable[[], dict[str, Service]], operations: Callable[[], list[dict]] = list) -> type[BaseHTTPRequestHandler]:
+    """The read endpoints (and ``decide`` by POST) of the projects that ``services()`` gives; ``?project=`` picks one, else the first by name."""
 
     class Handler(BaseHTTPRequestHandler):
         def answer(self, code: int, body: str) -> None:
@@ -112,35 +116,43 @@ def handler(s: Service) -> type[BaseHTTPRequestHandler]:
             self.end_headers()
             self.wfile.write(body.encode())
 
+        def service(self, q: dict[str, str]) -> Service:
+            known = services()
+            name = q.get("project") or min(known, default="")
+            if name not in known:
+                raise LookupError(f"no project {name!r}")
+            return known[name]
+
         def do_GET(self) -> None:
             at = urlsplit(self.path)
             q = {k: v[0] for k, v in parse_qs(at.query).items()}
             name, file = q.get("name", ""), q.get("file", "")
             verbs = {
-                "stats": s.stats, "find": lambda: s.find(name), "suggest": lambda: s.suggest(q.get("q", ""), q.get("kind"), int(q.get("limit", 8))),
-                "inspect": lambda: {k: v.asDict(True) if k == "entity" else [r.asDict(True) for r in v.collect()] for k, v in s.inspect(name, file).items()},
-                "related": lambda: s.related(name, int(q.get("depth", 2)), file), "impact": lambda: s.impact(name, file),
-                "source": lambda: s.source(name, file), "path": lambda: s.path(q.get("from", ""), q.get("to", "")),
-                "duplicates": lambda: s.duplicates(float(q.get("min", 0))), "similar": lambda: s.similar(name, file),
-                "graph": lambda: {k: [r.asDict(True) for r in d.collect()] for k, d in zip(("entities", "edges"), s.whole_graph(), strict=True)},
-                "context": lambda: s.context(q.get("prompt", ""), int(q.get("budget", 2500)), q.get("session", "")),
+                "projects": lambda _: sorted(services()), "operations": lambda _: operations(), "stats": lambda s: s.stats(),
+                "find": lambda s: s.find(name), "suggest": lambda s: s.suggest(q.get("q", ""), q.get("kind"), int(q.get("limit", 8))),
+                "inspect": lambda s: {k: v.asDict(True) if k == "entity" else [r.asDict(True) for r in v.collect()] for k, v in s.inspect(name, file).items()},
+                "related": lambda s: s.related(name, int(q.get("depth", 2)), file), "impact": lambda s: s.impact(name, file),
+                "source": lambda s: s.source(name, file), "path": lambda s: s.path(q.get("from", ""), q.get("to", "")),
+                "duplicates": lambda s: s.duplicates(float(q.get("min", 0))), "similar": lambda s: s.similar(name, file),
+                "graph": lambda s: {k: [r.asDict(True) for r in d.collect()] for k, d in zip(("entities", "edges"), s.whole_graph(), strict=True)},
+                "context": lambda s: s.context(q.get("prompt", ""), int(q.get("budget", 2500)), q.get("session", "")),
             }
             verb = verbs.get(at.path.strip("/").removeprefix("api/"))
             if verb is None:
                 return self.answer(404, '{"error": "no such endpoint"}')
             try:
-                self.answer(200, render.to_json(verb()))
+                alone = at.path.endswith(("projects", "operations"))
+                self.answer(200, render.to_json(verb(None if alone else self.service(q))))
             except (LookupError, ValueError) as e:
                 self.answer(400, render.to_json({"error": str(e)}))
 
         def do_POST(self) -> None:
-            import json
-
+            q = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
             try:
                 body = json.loads(self.rfile.read(int(self.headers.get("Content-Length", 0))))
-                s.decide(body["a"], body["b"], body["decision"])
+                self.service(q).decide(body["a"], body["b"], body["decision"])
                 self.answer(200, '{"saved": true}')
-            except (KeyError, ValueError) as e:
+            except (LookupError, ValueError) as e:
                 self.answer(400, render.to_json({"error": str(e)}))
 
         def log_message(self, *args) -> None:
@@ -154,8 +166,15 @@ def main(argv: list[str] | None = None) -> int:
 
     args = parser().parse_args(argv)
     spark = None if args.verb == "project" else local_session("*")
-    if args.verb == "serve":
-        ThreadingHTTPServer(("127.0.0.1", args.port), handler(Service(spark, os.path.abspath(args.project), args.warehouse))).serve_forever()
+    if args.verb == "mcp":
+        mcp.serve(Service(spark, os.path.abspath(args.project), args.warehouse))
+        return 0
+    if args.verb == "serve":  # all registered projects, watched
+        from skein.streaming.watch import Supervisor
+
+        everything = Supervisor(spark, args.warehouse, store.Projects(f"{args.warehouse}/projects.json"))
+        threading.Thread(target=everything.run, daemon=True).start()
+        ThreadingHTTPServer(("127.0.0.1", args.port), handler(everything.snapshot, everything.operations)).serve_forever()
     print(run(args, spark))
     return 0
 
