@@ -21,26 +21,47 @@ def terms_of(tasks: DataFrame) -> DataFrame:
     return tasks.select("task", F.explode(T.task_terms(F.col("prompt"))).alias("term")).groupBy("task", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def tokens_of(entities: DataFrame) -> DataFrame:
-    """``entities`` plus token set and camel parts of the name and of the symbol path."""
+def index_of(entities: DataFrame) -> DataFrame:
+    """(entity_id, side, token, part): an inverted index of names and symbol paths; ``part`` marks camel parts, the only tokens that stems match.
+
+    Side ``whole`` holds the lower-case name itself.
+    """
     path = T.symbol_path(F.col("qualified"))
-    return (
-        entities.withColumn("name_tokens", T.token_set(F.col("name"))).withColumn("name_parts", T.camel_parts(F.col("name")))
-        .withColumn("path_tokens", T.token_set(path)).withColumn("path_parts", T.camel_parts(path))
-    )
 
+    def side(name: str, text: Column) -> list[Column]:
+        whole = F.transform(T.words(text), lambda w: F.struct(F.lit(name).alias("side"), F.lower(w).alias("token"), F.lit(False).alias("part")))
+        parts = F.transform(T.camel_parts(text), lambda p: F.struct(F.lit(name).alias("side"), p.alias("token"), F.lit(True).alias("part")))
+        return [whole, parts]
+
+    name = F.array(F.struct(F.lit("whole").alias("side"), F.lower("name").alias("token"), F.lit(False).alias("part")))
+    every = F.array_distinct(F.concat(name, *side("name", F.col("name")), *side("path", path)))
+    return entities.select("entity_id", F.explode(every).alias("x")).select("entity_id", "x.*")
+
+
+def matches(terms: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity_id, term, whole, name_tier, path_tier) of entities that a term matches at all.
+
+    Terms, a few words of queries, meet the index's distinct tokens only; what
+    matches is joined to the entities by token.
+    """
+    index = index_of(entities)
+    words = index.where("side <> 'whole'").select("token", "part").distinct().crossJoin(terms.select("term").distinct())
+    term, token = F.col("term"), F.col("token")
+    tier = F.when(term == token, 1.0).when(F.col("part") & T.stem_match(term, token), 0.6)
+    near = words.withColumn("tier", tier).where("tier > 0")
+    wholes = index.where("side = 'whole'").join(terms.select(F.col("term").alias("token")).distinct(), "token").select("entity_id", "side", F.col("token").alias("term"), F.lit(1.0).alias("tier"))
+    found = index.where("side <> 'whole'").join(near, ["token", "part"]).select("entity_id", "side", "term", "tier").union(wholes)
+
+    def best(side: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("side") == side, F.col("tier"))), F.lit(0.0))
 
-def _matches(terms: DataFrame, entities: DataFrame) -> DataFrame:
-    """Each term against each entity it can match. Terms are a query's words, so the planner broadcasts them; entities stay where they are."""
-    return tokens_of(entities).crossJoin(terms)
+    return found.groupBy("entity_id", "term").agg(best("whole").alias("whole"), best("name").alias("name_tier"), best("path").alias("path_tier"))
 
 
 def document_frequency(terms: DataFrame, entities: DataFrame) -> DataFrame:
     """(task, term, df): entities whose name or symbol path matches the term, once per time the term stands in the list."""
-    term = F.col("term")
-    hit = (T.match_tier(term, F.col("name_tokens"), F.col("name_parts")) > 0) | (T.match_tier(term, F.col("path_tokens"), F.col("path_parts")) > 0)
-    found = _matches(terms, entities).where(hit).groupBy("task", "term").agg(F.sum("times").alias("df"))
-    return terms.select("task", "term").join(found, ["task", "term"], "left").fillna(0, ["df"])
+    hits = matches(terms, entities).where("name_tier > 0 OR path_tier > 0").groupBy("term").agg(F.count(F.lit(1)).alias("k"))
+    return terms.join(hits, "term", "left").select("task", "term", F.coalesce(F.col("k") * F.col("times"), F.lit(0)).alias("df"))
 
 
 def term_weights(terms: DataFrame, entities: DataFrame, damping: float = DAMPING, once: bool = False) -> DataFrame:
@@ -54,11 +75,9 @@ def term_weights(terms: DataFrame, entities: DataFrame, damping: float = DAMPING
 def scores(terms: DataFrame, weights: DataFrame, entities: DataFrame) -> DataFrame:
     """(task, entity_id, score > 0): whole names count ten, name words three, path words one weight each."""
     weighted = terms.select("task", "term").join(weights, ["task", "term"], "left").withColumn("w", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0))
-    term, w = F.col("term"), F.col("w")
-    name_tier = T.match_tier(term, F.col("name_tokens"), F.col("name_parts"))
-    path_tier = T.match_tier(term, F.col("path_tokens"), F.col("path_parts"))
-    point = F.when(term == F.lower("name"), 10 * w).when(name_tier > 0, 3 * w * name_tier).otherwise(w * path_tier)
-    hits = _matches(weighted, entities).select("task", "entity_id", point.alias("p")).where("p > 0")
+    w = F.col("w")
+    point = F.when(F.col("whole") > 0, 10 * w).when(F.col("name_tier") > 0, 3 * w * F.col("name_tier")).otherwise(w * F.col("path_tier"))
+    hits = matches(terms, entities).join(weighted, "term").select("task", "entity_id", point.alias("p")).where("p > 0")
     return hits.groupBy("task", "entity_id").agg(F.sum("p").alias("score"))
 
 
