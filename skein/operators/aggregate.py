@@ -73,3 +73,31 @@ def confusion(labelled: DataFrame) -> DataFrame:
 def merge_counts(old: DataFrame, new: DataFrame, files: DataFrame) -> DataFrame:
     """Per-file counts after ``files`` were indexed again: theirs come from ``new``, all others stay."""
     return old.join(files.select("file").distinct(), "file", "left_anti").unionByName(new)
+
+
+def baseline_tokens(gold: DataFrame, steps: DataFrame, files: DataFrame, count) -> DataFrame:
+    """Per task: tokens of reading its gold files (oracle), of these and its search output (traced), and their ratio.
+
+    ``gold`` (task, file), ``steps`` (task, pattern) with patterns in Java syntax, ``files`` (path, text); ``count`` maps
+    a text column to its tokens. Every step searches all lines, so steps meet lines in a product filtered by the pattern;
+    steps are a task set's few rows.
+    """
+    whole = gold.select("task", "file").distinct().join(files, F.col("file") == F.col("path"))
+    oracle = whole.groupBy("task").agg(F.sum(count(F.col("text"))).alias("oracle"))
+    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    shown = F.concat("path", F.lit(":"), (F.col("pos") + 1).cast("string"), F.lit(": "), "line", F.lit("\n"))
+    hits = lines.crossJoin(steps.select("task", "pattern").distinct()).where(F.regexp_like("line", F.col("pattern")))
+    output = hits.withColumn("shown", shown).groupBy("task").agg(F.sum(count(F.col("shown"))).alias("searched"))
+    both = oracle.join(output, "task", "left").withColumn("traced", F.col("oracle") + F.coalesce("searched", F.lit(0)))
+    return both.select("task", "oracle", "traced", F.try_divide(F.col("traced").cast("double"), "oracle").alias("ratio"))
+
+
+def estimator_ratio(texts: DataFrame, estimate, exact) -> DataFrame:
+    """One row: estimated tokens over exact ones, over all texts (text)."""
+    return texts.agg(F.try_divide(F.sum(estimate(F.col("text"))).cast("double"), F.sum(exact(F.col("text")))).alias("ratio"))
+
+
+def same_entities(old: DataFrame, new: DataFrame) -> bool:
+    """Whether both hold the same (entity_id, content_hash) rows, repeats included."""
+    a, b = old.select("entity_id", "content_hash"), new.select("entity_id", "content_hash")
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -137,6 +137,24 @@ def test_aggregates(spark):
     assert [(r["var"], r["type"]) for r in aggregate.agreed_types(seen).collect()] == [("a", "T")]
 
 
+def test_baseline(spark):
+    files = spark.createDataFrame([("a", "one two\nthree"), ("b", "two")], "path string, text string")
+    gold = spark.createDataFrame([("t", "a"), ("t", "a"), ("u", "b")], "task string, file string")
+    steps = spark.createDataFrame([("t", "tw.")], "task string, pattern string")
+    got = {r.task: (r.oracle, r.traced) for r in aggregate.baseline_tokens(gold, steps, files, F.length).collect()}
+    assert got == {"t": (13, 13 + len("a:1: one two\n") + len("b:1: two\n")), "u": (3, 3)}
+    assert aggregate.estimator_ratio(files, F.length, F.length).first()[0] == 1.0
+    rows = spark.createDataFrame([("x", "1"), ("x", "1"), ("y", "2")], "entity_id string, content_hash string")
+    assert aggregate.same_entities(rows, rows) and not aggregate.same_entities(rows, rows.distinct())
+
+
+def test_tiktoken_counter(spark):
+    import public_tokenizers
+
+    count = compiler.tiktoken_counter(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert spark.createDataFrame([("hello world",), (None,)], "t string").select(count(F.col("t"))).collect() == [(2,), (0,)]
+
+
 def test_debounce(spark):
     rows = [("p", "2024-01-01 00:00:00.0", "a"), ("p", "2024-01-01 00:00:00.2", "b"), ("p", "2024-01-01 00:00:01.0", "a")]
     df = spark.createDataFrame(rows, "project string, ts string, path string").withColumn("ts", F.to_timestamp("ts"))
