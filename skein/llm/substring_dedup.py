@@ -182,7 +182,7 @@ def factor_blocks(found: DataFrame, window: int) -> DataFrame:
 def factor_hot(found: DataFrame, window: int) -> DataFrame:
     """The same for anchors with too many places for one task: window counts by partial aggregate, joined back."""
     each = found.select("g", "doc_id", "tk", "start", F.posexplode("windows").alias("o", "w"))
-    index = each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    index = materialize(each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hot-windows")
     held = each.join(index, ["g", "w"])
     return held.select("doc_id", "tk", (F.col("start") + F.col("o")).alias("s"), (F.col("start") + F.col("o") + window).alias("e"))
 
