@@ -286,7 +286,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         part, row = TaskContext.get().partitionId(), 0
         squeeze, seen = _codec(), np.zeros(0, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 21):
+            for piece in slices(batch, "text", 1 << 20):
                 found, bounds = encoder.encode(piece.column("text"))
                 n = len(bounds) - 1
                 ends = bounds[1:] + np.arange(1, n + 1)
