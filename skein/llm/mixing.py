@@ -1,21 +1,22 @@
-"""Mixing sources to target weights: Sainte-Lague quotas of equal-token blocks.
+"""Mixing sources to target weights: Sainte-Lague quotas of single words.
 
 A source's target is its weighted share of ``share`` times all words, stopped
 at ``cap`` times its own size; what a stopped source leaves is shared again by
-weight until none is above. Targets become integer block quotas by
-Sainte-Lague: each next block goes to the source with the highest quotient
-target / (2 * blocks so far + 1). A source is dealt over shards by a seeded
+weight until none is above. Targets become integer quotas of words by
+Sainte-Lague: each next word goes to the source with the highest quotient
+target / (2 * words so far + 1). Only the last few are dealt one by one, so
+the unit need not grow with the corpus, and a source takes its target to
+within a word or so at any size. A source is dealt over shards by a seeded
 hash (so that no shard, not even of a hot source, outgrows a task), and the
 source's quota is apportioned over its shards the same way, by shard size.
 
-Within a shard documents stand in seeded hash order, their words form one
-stream, and the stream is cut into equal blocks. ``quota div blocks`` full
-passes are taken, and the remaining blocks are the seeded circular run that
-starts at a hashed block; as the order is a hash order, that run is a seeded
+Within a shard documents stand in seeded hash order, and their words form one
+stream. ``quota div size`` full passes are taken, and the remaining words are
+the seeded circular run that starts at a hashed word; as the order is a hash order, that run is a seeded
 sample of documents, and only the documents at its ends are cut.
 
 Only one row per source and one per shard reach the driver: both are bounded
-by ``max_sources`` and ``blocks``. Documents are shuffled as (id, size) rows.
+by ``max_sources`` and ``MAX_SHARDS``. Documents are shuffled as (id, size) rows.
 
 Defined cases. Null text has size 0. Null source is a source of its own, last.
 Empty tables give empty results; sources without words get target 0 and take
@@ -38,7 +39,6 @@ from skein.session import table
 WORD = r"[^\x20\x09-\x0D]+"
 SHARD_WORDS = 250_000
 MAX_SHARDS = 4096
-BLOCKS = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -67,9 +67,10 @@ def sainte_lague(claims: Sequence[float], seats: int, limits: Sequence[int]) ->
     total = sum(claims)
     if total <= 0 or seats <= 0:
         return got
-    # every claim surely wins the seats below its share less one per competitor; the rest go one by one
-    slack = 1 + len(claims) // 2
-    got = [min(limit, max(0, math.floor(seats * c / total) - slack)) for c, limit in zip(claims, limits, strict=True)]
+    # all quotients of at least half this divisor win, at most ``seats`` of them; the rest, about one a claim, go one by one
+    sure = seats - sum(c > 0 for c in claims) / 2
+    divisor = total / sure * (1 + 1e-12) if sure > 0 else math.inf
+    got = [min(limit, math.floor(c / divisor + 0.5)) for c, limit in zip(claims, limits, strict=True)]
     heap = [(-c / (2 * n + 1), i) for i, (c, n) in enumerate(zip(claims, got, strict=True)) if c > 0 and n < limits[i]]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):
@@ -87,7 +88,6 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: int = 2,
-    blocks: int = BLOCKS,
     seed: int = 7,
     max_sources: int = 1_000_000,
 ) -> DataFrame:
@@ -105,7 +105,6 @@ def mix(
     rows = sorted(((r.source, r.n) for r in per_source), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [n for _, n in rows]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(rows))], share, cap)
-    block = max(1, math.ceil(sum(targets) / blocks))
     shards = [max(1, min(MAX_SHARDS, n // SHARD_WORDS)) for n in sizes]
     plan = spark.createDataFrame(
         [(i, s, n, float(t), k) for i, ((s, n), t, k) in enumerate(zip(rows, targets, shards, strict=True))],
@@ -118,26 +117,22 @@ def mix(
     by_source: dict[int, list[tuple[int, int]]] = {}
     for (sid, shard), n in sorted(shard_sizes.items()):
         by_source.setdefault(sid, []).append((shard, n))
-    limits = [cap * sum(math.ceil(n / block) for _, n in by_source.get(i, [])) for i in range(len(rows))]
-    quotas = sainte_lague(targets, round(sum(targets) / block), limits)
+    quotas = sainte_lague(targets, round(sum(targets)), [cap * n for n in sizes])
     picks = []
     for sid, own in by_source.items():
-        n_blocks = [math.ceil(n / block) for _, n in own]
-        for (shard, n), k, q in zip(own, n_blocks, sainte_lague([n for _, n in own], quotas[sid], [cap * k for k in n_blocks]), strict=True):
-            picks.append((sid, shard, n, k, q // k if k else 0, q % k if k else 0))
-    picked = spark.createDataFrame(picks, "sid int, shard int, n long, k long, full long, extra long")
+        for (shard, n), q in zip(own, sainte_lague([n for _, n in own], quotas[sid], [cap * n for _, n in own]), strict=True):
+            picks.append((sid, shard, n, q // n if n else 0, q % n if n else 0))
+    picked = spark.createDataFrame(picks, "sid int, shard int, n long, full long, extra long")
     order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "tk"), "doc_id", "size", "tk")
     placed = (
         dealt.withColumn("to", F.sum("size").over(order))
         .withColumn("from", F.col("to") - F.col("size"))
         .join(picked, ["sid", "shard"])
     )
-    # the circular run of extra blocks in words: [lo, hi), and what wraps round: [0, wrap)
-    start = F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "shard"), F.greatest(F.col("k"), F.lit(1)))
-    placed = placed.withColumn("lo", start * block).withColumn("end", (start + F.col("extra")) * block)
-    placed = placed.withColumn("hi", F.least("end", "n")).withColumn(
-        "wrap", F.when(start + F.col("extra") > F.col("k"), (start + F.col("extra") - F.col("k")) * block).otherwise(0)
-    )
+    # the circular run of extra words: [lo, hi), and what wraps round: [0, wrap)
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), "sid", "shard"), F.greatest(F.col("n"), F.lit(1)))
+    placed = placed.withColumn("lo", start).withColumn("end", start + F.col("extra"))
+    placed = placed.withColumn("hi", F.least("end", "n")).withColumn("wrap", F.greatest(F.col("end") - F.col("n"), F.lit(0)))
 
     def inside(at: Column) -> Column:
         return F.least(F.greatest(at - F.col("from"), F.lit(0)), F.col("size"))
