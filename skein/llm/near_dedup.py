@@ -9,9 +9,14 @@ probability s per step. A node of at most ``small`` documents is compared
 exhaustively, on full shingle sets; a larger node branches again. Nodes with
 the same members (one group found by several trees) are compared once.
 
-Recall. At the threshold t a pair meets in a depth-2 node of one of T trees with
-probability 1 - (1 - t^2)^T: 0.99996 for t = 0.85, T = 8. Deeper nodes arise only
-where many documents share tokens.
+Recall. A document's node becomes small at some depth d in each tree, and a
+partner at the threshold t is in it with probability t^d. A document's chance to
+miss a partner is the product of 1 - t^d over its trees, and more trees are
+drawn for the documents above ``MISS`` until none is left: 8 trees are enough at
+t = 0.85 (10 at 0.80) where all nodes are small at depth 2, and none needs more
+than ln(MISS) / ln(1 - t^12) = 67 (143). A pair is found through either end, so
+a later round holds only the documents still open, and of its nodes only those
+that join several components. Every depth is looked at.
 
 Dense nodes. What is still large at the last depth agrees on all of a tree's
 tokens, so it is a group of near copies. Its members are compared with a few
@@ -36,6 +41,7 @@ smallest doc_id. Extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,14 +50,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm._runs import runs
-from skein.llm._store import free_shuffles, materialize, partitions, text_key
+from skein.llm._store import discard, free_shuffles, materialize, partitions, text_key
 from skein.llm._words import gram_weights, grams, mix64, slices, word_hashes
 from skein.llm.components import connected_components
 from skein.session import table
 
 TREES, DEPTH = 8, 12
-#: Depths at which a node's size is looked at.
-LEVELS = (2, 3, 5, 8)
+#: The first depth at which a node's size is looked at.
+TOP = 2
+#: A document's greatest chance to miss a partner at the threshold.
+MISS = 4e-5
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -74,23 +82,23 @@ def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 @functools.cache
-def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(85)
+def _functions(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 32, count, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, count, dtype=np.uint32)
 
 
-def signatures(sets: list[np.ndarray], count: int) -> np.ndarray:
+def signatures(sets: list[np.ndarray], count: int, seed: int = 85) -> np.ndarray:
     """(len(sets), count) minwise tokens; every set has a member."""
     starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
-    mult, add = _functions(count)
+    mult, add = _functions(count, seed)
     out = np.empty((len(sets), count), np.uint32)
     for k in range(count):
         out[:, k] = np.minimum.reduceat(x * mult[k] + add[k], starts)
     return out
 
 
-def features(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
+def features(docs: DataFrame, n: int, trees: int, depth: int, seed: int = 85) -> DataFrame:
     """(doc_id, tk, n_shingles, s1, s2, sig): set size, 128 bits of the set, minwise tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +106,7 @@ def features(docs: DataFrame, n: int, trees: int, depth: int) -> DataFrame:
             for part in slices(batch, "text", 1 << 21):
                 sets = shingle_sets(part.column("text"), n)
                 full = [s for s in sets if len(s)]
-                sigs = iter(signatures(full, trees * depth).view(np.int32) if full else [])
+                sigs = iter(signatures(full, trees * depth, seed).view(np.int32) if full else [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("tk"), pa.array([len(s) for s in sets], pa.int64()),
@@ -234,13 +242,20 @@ def rest_links(members: DataFrame, components: DataFrame, n: int, percent: int,
     return small_node_links(rows, n, percent)
 
 
-def tree_nodes(reps: DataFrame, trees: int, depth: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of small nodes of two or more members, and of dense nodes; ``reps`` has (id, sig)."""
+def _log_miss(percent: int, depth: int) -> float:
+    """Logarithm of the chance that a pair at the threshold comes apart before ``depth``."""
+    return math.log(max(1e-9, 1 - (percent / 100) ** depth))
+
+
+def tree_nodes(reps: DataFrame, trees: int, depth: int, small: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, id) of small nodes of two or more members, and of dense nodes; (id, w): what depths below ``TOP`` add to a
+    document's log chance to miss a partner. ``reps`` has (id, sig)."""
     exploded = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("sig", t * depth + 1, depth))).alias("tree", "path"))
     level = exploded
-    small_parts, dense = [], None
-    steps = [d for d in LEVELS if d < depth] + [depth]
-    for d in steps:
+    spark = reps.sparkSession
+    nothing = spark.createDataFrame([], "node long, id long")
+    small_parts, dense, excess = [], nothing, [spark.createDataFrame([], "id long, w double")]
+    for d in range(min(TOP, depth), depth + 1):
         keyed = level.withColumn("node", F.xxhash64("tree", F.slice("path", 1, d)))
         sizes = keyed.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")
@@ -251,49 +266,85 @@ def tree_nodes(reps: DataFrame, trees: int, depth: int, small: int) -> tuple[Dat
         large = sizes.where(F.col("n") > small)
         if large.isEmpty():
             break
-        level = keyed.join(large.select("node"), "node").select("id", "tree", "path")
-        level = materialize(level, "large-nodes")
         if d == depth:
             one = large.groupBy("n", "x1", "x2").agg(F.min("node").alias("node"))
             dense = keyed.join(one.select("node"), "node").select("node", "id")
-    nothing = reps.sparkSession.createDataFrame([], "node long, id long")
-    return functools.reduce(DataFrame.union, small_parts), nothing if dense is None else dense
+            break
+        level = keyed.join(large.select("node"), "node").select("id", "tree", "path")
+        level = materialize(level, "large-nodes")
+        excess.append(level.select("id", F.lit(_log_miss(percent, d + 1) - _log_miss(percent, d)).alias("w")))
+    return functools.reduce(DataFrame.union, small_parts), dense, functools.reduce(DataFrame.union, excess)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int = TREES, depth: int = DEPTH, small: int = 256) -> DataFrame:
-    """(doc_id, tk, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
-    feats = materialize(features(keyed, n, trees, depth), "signatures")
-    sets = feats.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = sets.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "tk")).alias("rep"))
-    classes = materialize(classes.select("n_shingles", "s1", "s2", F.col("rep.doc_id").alias("rep"), F.col("rep.tk").alias("rep_tk")), "classes")
-    free_shuffles(spark)
-    own = classes.select(F.col("rep").alias("doc_id"), F.col("rep_tk").alias("tk"), "n_shingles", "s1", "s2")
-    reps = sets.join(own, ["doc_id", "tk", "n_shingles", "s1", "s2"]).dropDuplicates(["doc_id", "tk"]).select(F.struct("doc_id", "tk").alias("key"), "sig")
-    # a class is named by 64 bits over its representative, so a doc_id with several texts has several
-    reps = reps.select(F.xxhash64("key.doc_id", "key.tk").alias("id"), "sig")
-    reps = materialize(reps, "reps")
-    small_nodes, dense_nodes = tree_nodes(reps, trees, depth, small)
+def mixed_nodes(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows (id, node, tiny) of nodes whose members are in more than one component so far."""
+    at = nodes.join(reps.select("id", "doc_id"), "id").join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    ends = at.groupBy("node").agg(F.min(F.coalesce("component", "doc_id")).alias("a"), F.max(F.coalesce("component", "doc_id")).alias("b"))
+    return nodes.join(ends.where("a <> b").select("node"), "node").select("id", "node", "tiny")
+
+
+def round_components(keyed: DataFrame, reps: DataFrame, known: DataFrame, comps: DataFrame | None, trees: int, depth: int, small: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Components (id, component) of the links ``known`` (a, b) and those of ``trees`` trees over ``reps``, and (id, w) as by ``tree_nodes``."""
+    spark = keyed.sparkSession
+    small_nodes, dense_nodes, excess = tree_nodes(reps, trees, depth, small, percent)
     small_nodes, dense_nodes = materialize(small_nodes, "small-nodes"), materialize(dense_nodes, "dense-nodes")
     free_shuffles(spark)
     wanted = small_nodes.select("id", "node", F.lit(True).alias("tiny")).union(dense_nodes.select("id", "node", F.lit(False).alias("tiny")))
+    if comps is not None:
+        wanted = mixed_nodes(wanted, reps, comps)
     wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("node", "tiny")).alias("nodes"))
     texts = keyed.select(F.xxhash64("doc_id", "tk").alias("id"), F.col("doc_id").alias("own"), "text").where("own IS NOT NULL").join(wanted, "id")
     members = texts.dropDuplicates(["id"]).select(F.col("own").alias("id"), "text", F.explode("nodes").alias("at")).select("at.node", "at.tiny", "id", "text")
     members = materialize(members, "members")
     free_shuffles(spark)
     large = members.where("NOT tiny").select("node", "id", "text")
-    copies = sets.join(classes, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = small_node_links(members.where("tiny"), n, percent).union(copies)
+    links = small_node_links(members.where("tiny"), n, percent).union(known)
     dense = not large.isEmpty()
     if dense:
         links = links.union(pivot_links(large, n, percent))
     comps = materialize(connected_components(links), "components")
     rest = rest_links(large, comps, n, percent) if dense else None
     if rest is not None:
-        known = comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        comps = materialize(connected_components(rest.union(known)), "components")
+        comps = materialize(connected_components(rest.union(_as_links(comps))), "components")
+    discard(members)
+    return comps, excess
+
+
+def _as_links(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int = TREES, depth: int = DEPTH, small: int = 256) -> DataFrame:
+    """(doc_id, tk, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text); ``trees`` is the least number of trees."""
+    spark = docs.sparkSession
+    top = _log_miss(percent, min(TOP, depth))
+    trees = max(trees, math.ceil(math.log(MISS) / top))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
+    feats = materialize(features(keyed, n, trees, depth), "signatures")
+    sets = feats.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = sets.groupBy("n_shingles", "s1", "s2").agg(F.min(F.struct("doc_id", "tk")).alias("rep"))
+    classes = materialize(classes.select("n_shingles", "s1", "s2", F.col("rep.doc_id").alias("rep"), F.col("rep.tk").alias("rep_tk")), "classes")
+    free_shuffles(spark)
+    own = classes.select(F.col("rep").alias("doc_id"), F.col("rep_tk").alias("tk"), "n_shingles", "s1", "s2")
+    reps = sets.join(own, ["doc_id", "tk", "n_shingles", "s1", "s2"]).dropDuplicates(["doc_id", "tk"])
+    # a class is named by 64 bits over its representative, so a doc_id with several texts has several
+    named = [F.xxhash64("doc_id", "tk").alias("id"), "doc_id", "tk", "sig"]
+    reps = materialize(reps.select(*named), "reps")
+    copies = sets.join(classes, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comps, excess = round_components(keyed, reps, copies, None, trees, depth, small, n, percent)
+    lost, seed = reps.select("id", "doc_id", "tk", F.lit(0.0).alias("lost")), 85
+    while True:
+        lost = lost.join(excess.groupBy("id").agg(F.sum("w").alias("w")), "id", "left")
+        lost = lost.withColumn("lost", F.col("lost") + trees * top + F.coalesce("w", F.lit(0.0))).drop("w")
+        lost = materialize(lost.where(F.col("lost") > math.log(MISS)), "open-documents")
+        most = lost.agg(F.max("lost")).first()[0]
+        if most is None:
+            break
+        trees, seed = min(2 * trees, math.ceil((most - math.log(MISS)) / -_log_miss(percent, depth))), seed + 1
+        more = keyed.join(lost.select("doc_id", "tk"), ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "text")
+        reps = materialize(features(more, n, trees, depth, seed).select(*named), "reps")
+        comps, excess = round_components(keyed, reps, _as_links(comps), comps, trees, depth, small, n, percent)
+        discard(reps)
     out = feats.select("doc_id", "tk", "n_shingles").join(comps.select(F.col("id").alias("_id"), "component"), F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "tk", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
