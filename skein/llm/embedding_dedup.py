@@ -7,11 +7,16 @@ double precision, with its next ``window`` neighbours in every pass, and the
 verified pairs of all passes are united into components. Direct links are then
 counted exactly inside each component, by blocks.
 
-Recall. At cosine 0.98 two vectors differ in a bit with probability 0.064. Among
-n vectors of a label a pair surely meets if it agrees on the first
-log2(n / window) bits; with 12 passes and window 32 it is missed with
-probability below 1e-4 for n = 10,000 and below 1e-2 for n = 1,000,000. A pair
-counts if any chain of met pairs joins it, so groups are found more surely.
+Recall. A label (and length) of at most ``exact`` classes is compared in full, by
+blocks. In a larger one keys are taken of vectors less the label's mean m, so a
+cone of vectors is spread out: a partner of x at the cosine c differs from it in
+a bit with probability at most asin(d / |x - m|) / pi, d = sqrt(2 - 2c). It
+surely meets x in a pass if it agrees on one bit more than x shares with the
+ends of its window, which measures the density around x itself. The product over
+all passes is x's chance to miss a partner; vectors above ``MISS`` go on to
+further rounds of passes, among themselves, as a pair is found through either
+end. What is left after ``ROUNDS`` rounds, as near its label's mean, is compared
+in full. A pair counts if any chain of met pairs joins it.
 
 Scale. Equal vectors are one class from the start (partial aggregate). A pass
 sorts all vectors by one range shuffle, in which an order with neighbours
@@ -29,6 +34,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +49,8 @@ from skein.llm.components import connected_components
 from skein.session import table
 
 BITS = 48
+#: A vector's greatest chance to miss a partner, and the rounds of passes before vectors above it are compared in full.
+MISS, ROUNDS = 1e-4, 6
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -69,8 +77,12 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.drop("embedding"), own.select("id", "label", F.size("embedding").alias("dim"), "n", "h1", "h2", "embedding")
 
 
-def neighbour_links(classes: DataFrame, cosine: float, passes: int, window: int, block: int = 512) -> DataFrame:
-    """(a, b): pairs of classes that stand within ``window`` in some pass and reach ``cosine``; spanning per block."""
+def neighbour_links(classes: DataFrame, centres: DataFrame, cosine: float, passes: int, window: int, seed: int, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of classes that stand within ``window`` in some pass and reach ``cosine``, spanning per block; (id, lost): log chance to miss a partner.
+
+    ``classes`` has (id, label, dim, embedding), ``centres`` (label, dim, centre).
+    """
+    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
@@ -78,11 +90,13 @@ def neighbour_links(classes: DataFrame, cosine: float, passes: int, window: int,
             dims = np.diff(np.asarray(batch.column("embedding").offsets, np.int64))
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
-                x = _matrix(part.column("embedding"))
+                x = _matrix(part.column("embedding")) - np.asarray(part.column("centre").flatten(), np.float64).reshape(part.num_rows, -1)
+                far = np.sqrt((x * x).sum(1))
+                same = np.where(far > reach, 1 - np.arcsin(np.minimum(1, reach / np.maximum(far, reach))) / np.pi, 0.0)
                 for p in range(passes):
-                    planes = np.random.default_rng((98, p, int(d))).standard_normal((int(d), BITS))
+                    planes = np.random.default_rng((98, seed * passes + p, int(d))).standard_normal((int(d), BITS))
                     key = ((x @ planes) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column("label"), part.column("dim"), pa.array(key), part.column("id")], ["pass", "label", "dim", "key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column("label"), part.column("dim"), pa.array(key), part.column("id"), pa.array(same)], ["pass", "label", "dim", "key", "id", "same"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row = TaskContext.get().partitionId(), 0
@@ -109,7 +123,7 @@ def neighbour_links(classes: DataFrame, cosine: float, passes: int, window: int,
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     order = ["pass", "label", "dim", "key", "id"]
-    keyed = materialize(classes.select("id", "label", "dim", "embedding").mapInArrow(keys, "pass int, label string, dim int, key long, id long"), "projections")
+    keyed = materialize(classes.join(centres, ["label", "dim"]).select("id", "label", "dim", "embedding", "centre").mapInArrow(keys, "pass int, label string, dim int, key long, id long, same double"), "projections")
     ranged = keyed.repartitionByRange(partitions(classes.sparkSession), *order).sortWithinPartitions(*order)
     placed = materialize(ranged.mapInArrow(number, keyed.schema.simpleString()[7:-1].replace(":", " ") + ", part int, row long"), "orders")
     total, bases = 0, []
@@ -123,7 +137,78 @@ def neighbour_links(classes: DataFrame, cosine: float, passes: int, window: int,
     rows = at.union(halo).select("block", "at", F.xxhash64("pass", "label", "dim").alias("group"), "id")
     full = rows.join(classes.select("id", "embedding"), "id")
     dealt = full.repartitionByRange(partitions(classes.sparkSession), "block").sortWithinPartitions("block", "at")
-    return dealt.select("block", "group", "id", "embedding").mapInArrow(compare, "a long, b long").distinct()
+    links = dealt.select("block", "group", "id", "embedding").mapInArrow(compare, "a long, b long").distinct()
+    # the bits a vector shares with the ends of its window: a pass's order is cut by blocks again, with ends on both sides
+    side = at.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).where(
+        (F.col("at") >= F.col("block") * block - window) & (F.col("at") < (F.col("block") + 1) * block + window)
+    )
+    side = side.select("block", "at", F.xxhash64("pass", "label", "dim").alias("group"), "id", "key", "same")
+
+    def misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "block"):
+            where, at, group, key, same = (rows.column(c).to_numpy() for c in ("block", "at", "group", "key", "same"))
+            bits = np.zeros(len(at), np.int64)  # a partner that agrees on so many is inside the window
+            for shift in (window, -window):
+                other = np.arange(len(at)) + shift
+                ok = (other >= 0) & (other < len(at))
+                other = np.where(ok, other, 0)
+                ok &= (where[other] == where) & (group[other] == group)
+                differ = np.frexp((key ^ key[other]).astype(np.float64))[1]  # place of the highest bit that differs
+                bits = np.maximum(bits, np.where(ok, BITS - differ + 1, 0))
+            met = np.where(bits > BITS, 0.0, same ** bits)
+            own = at // block == where
+            yield pa.RecordBatch.from_arrays([pa.array(rows.column("id").to_numpy()[own]), pa.array(np.log(np.maximum(1e-30, 1 - met[own])))], ["id", "lost"])
+
+    ordered = side.repartitionByRange(partitions(classes.sparkSession), "block").sortWithinPartitions("block", "at")
+    lost = ordered.mapInArrow(misses, "id long, lost double").groupBy("id").agg(F.sum("lost").alias("lost"))
+    return links, lost
+
+
+def all_links(classes: DataFrame, cosine: float) -> DataFrame:
+    """(a, b): spanning links of every pair of a label and length, by blocks; rows (id, label, dim, embedding)."""
+    sizes = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("g"))
+    placed = classes.join(sizes, ["label", "dim"]).withColumn("blocks", F.ceil(F.col("g") / F.least(F.greatest(F.col("g") / 64, F.lit(1024)), F.lit(8192))).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select(F.xxhash64("label", "dim", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "id", "embedding")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "task"):
+            bounds = run_bounds(rows.column("task").to_numpy())
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                part = rows.slice(s, e - s)
+                x, ids = _matrix(part.column("embedding")), part.column("id").to_numpy()
+                links = []
+                for low in range(0, len(ids), 512):
+                    i, j = np.nonzero(x[low : low + 512] @ x[low:].T >= cosine)
+                    i, j = i[i < j] + low, j[i < j] + low
+                    links = spanning([*links, *zip(ids[i].tolist(), ids[j].tolist(), strict=True)])
+                if links:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+
+    dealt = each.repartition(partitions(classes.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def near_links(classes: DataFrame, cosine: float, passes: int, window: int, exact: int) -> DataFrame:
+    """(a, b): links that join what belongs together."""
+    open_ = classes.select("id", "label", "dim", "embedding").withColumn("lost", F.lit(0.0))
+    found = []
+    for seed in range(ROUNDS + 1):
+        sizes = open_.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("g"))
+        large = materialize(sizes.where(F.col("g") > (exact if seed < ROUNDS else 1 << 62)).select("label", "dim"), "large-labels")
+        found.append(materialize(all_links(open_.join(large, ["label", "dim"], "left_anti"), cosine), "vector-links"))
+        if large.isEmpty():
+            break
+        open_ = open_.join(large, ["label", "dim"])
+        unit = F.transform("embedding", lambda v: v.cast("double") / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, w: s + w.cast("double") * w.cast("double"))))
+        means = open_.select("label", "dim", F.posexplode(unit).alias("k", "v")).groupBy("label", "dim", "k").agg(F.avg("v").alias("v"))
+        centres = means.groupBy("label", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("centre"))
+        links, lost = neighbour_links(open_, materialize(centres, "centres"), cosine, passes, window, seed)
+        found.append(materialize(links, "vector-links"))
+        open_ = open_.join(lost.withColumnRenamed("lost", "more"), "id").withColumn("lost", F.col("lost") + F.col("more")).drop("more")
+        open_ = materialize(open_.where(F.col("lost") > float(np.log(MISS))), "open-vectors")
+    return functools.reduce(DataFrame.union, found)
 
 
 def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -178,12 +263,12 @@ def link_counts(members: DataFrame, cosine: float) -> DataFrame:
     return dealt.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, passes: int = 12, window: int = 32) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, passes: int = 12, window: int = 32, exact: int = 16_384) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors`` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     rows, classes = classes_of(vectors.select("vec_id", "embedding", "label"))
     classes = materialize(classes, "vector-classes")
-    links = neighbour_links(classes, cosine, passes, window)
+    links = near_links(classes, cosine, passes, window, exact)
     comps = materialize(connected_components(links), "vector-components")
     free_shuffles(spark)
     members = materialize(classes.join(comps, "id").select("component", "id", "n", "embedding"), "vector-members")

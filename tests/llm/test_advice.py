@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from skein.llm import mixing, near_dedup
+from skein.llm import embedding_dedup, mixing, near_dedup
 
 
 def test_small_sources_of_large_corpora(spark):
@@ -28,3 +28,22 @@ def test_near_copies_among_documents_of_a_template(spark):
         rows.append((i, " ".join(rng.permutation(own))))
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80, n=1, small=16).collect()}
     assert got == {i: i - 1 if i % 4 == 1 else i for i in range(400)}
+
+
+def cone(n):
+    """Vectors of one label about one direction, and twins of a tenth of them at cosine 0.982."""
+    rng = np.random.default_rng(5)
+    unit = lambda v: v / np.sqrt((v * v).sum(1, keepdims=True))
+    x = unit(rng.standard_normal((1, 64)) * 3 + rng.standard_normal((n, 64)))
+    y = x[: n // 10]
+    side = rng.standard_normal(y.shape)
+    side = unit(side - (side * y).sum(1, keepdims=True) * y)
+    return np.concatenate([x, 0.982 * y + np.sqrt(1 - 0.982**2) * side])
+
+
+def test_pairs_in_a_cone_of_vectors(spark):
+    n = 4000
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(cone(n))], "vec_id long, embedding array<double>, label int")
+    for exact in (16_384, 500):
+        got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(df, exact=exact, window=4).collect()}
+        assert [i for i in range(n // 10) if got[n + i] != got[i]] == []
