@@ -5,8 +5,8 @@ lower-casing) is reduced to 128 bits of hash. The hashes are range-partitioned
 with a secondary sort by document and position, and one pass over each sorted
 range carries the first document of the current hash; a line of a later
 document is a repeat. Only (document, position) leaves that pass; it is packed
-into 64-bit words, so what comes back per document is a sparse keep bitmap and
-never text.
+into 64-bit words, and what comes back per document is a compressed keep bitmap,
+the words that are not all ones, and never text.
 
 Scale. The hash table is written once to the shared folder (lineage cut) and
 feeds both the range sampling and the heavy-hash count. A hash that holds more
@@ -19,7 +19,8 @@ Defined cases. Null or empty text: one empty line, kept. ``min_chars`` is in
 code points of the key. Rows with null doc_id take no part (nothing of theirs
 is dropped, they make nobody else drop). Rows that repeat a doc_id: a line
 stays wherever the smallest doc_id holds it; identical rows get identical
-results. Extra columns are ignored by the bitmap and untouched by ``apply``.
+results. Extra columns are ignored by the bitmap and, whatever their names, untouched
+by ``apply``, but for its own three, which replace earlier ones.
 """
 
 from __future__ import annotations
@@ -59,10 +60,10 @@ def line_hashes(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """Per document that loses a line: (doc_id, tk, n_dropped, dropped array<long>).
+    """Per document that loses a line: (doc_id, tk, n_dropped, keep array<struct<word int, bits long>>).
 
-    Bit ``i % 64`` of word ``i / 64`` is set when line ``i`` goes; trailing zero
-    words are absent, and documents that lose nothing have no row.
+    Bit ``i % 64`` of word ``i / 64`` is set when line ``i`` stays. Words whose
+    lines all stay are absent, and so are documents that lose nothing.
     """
     spark = docs.sparkSession
     rows = materialize(line_hashes(docs, min_chars), "lines")
@@ -85,26 +86,29 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("bits")
     )
     packed = words.groupBy("doc_id", "tk").agg(
-        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("sparse"),
-        F.max("word").alias("last"),
-        F.sum(F.bit_count("bits")).alias("n_dropped"),
+        F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("keep"),
+        F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"),
     )
-    dense = F.expr("transform(sequence(0, last), w -> coalesce(try_element_at(sparse, w), 0L))")
-    return packed.select("doc_id", "tk", F.col("n_dropped").cast("long").alias("n_dropped"), dense.alias("dropped"))
+    return packed.select("doc_id", "tk", "n_dropped", "keep")
 
 
 def apply(docs: DataFrame, bitmaps: DataFrame, into: str = "kept_text") -> DataFrame:
     """``docs`` with the kept lines of each text joined by a line feed, plus n_lines and n_dropped."""
-    side = bitmaps.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("n_dropped").alias("_n"), "dropped")
-    own = [c for c in docs.columns if c not in ("dropped", "_id", "_tk", "_n", into, "n_lines", "n_dropped")]
-    joined = docs.select(*own).join(side, (F.col("doc_id") == F.col("_id")) & (text_key() == F.col("_tk")), "left")
-    lines = split_lines(F.col("text"))
+    own = [c for c in docs.columns if c not in (into, "n_lines", "n_dropped")]
+    # every word of the bitmap up to its last, before the join, so that it is unpacked once a document
+    unpacked = bitmaps.withColumn("words", F.map_from_entries("keep")).withColumn("last", F.element_at("keep", -1)["word"])
+    dense = F.expr("transform(sequence(0, last), w -> coalesce(try_element_at(words, w), -1L))")
+    side = unpacked.select("doc_id", "tk", "n_dropped", dense.alias("dense"))
+    # whatever the columns are called, they travel in one
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").alias("d"), text_key().alias("k"), F.col("text").alias("t"))
+    joined = rows.join(side, (F.col("d") == F.col("doc_id")) & (F.col("k") == F.col("tk")), "left")
     # the tested bit depends on the lambda's own index, which only the SQL form passes to getbit
-    kept = F.expr("filter(split(coalesce(text, ''), '\\n', -1), (x, i) -> getbit(coalesce(get(dropped, cast(i div 64 as int)), 0L), cast(i % 64 as int)) = 0)")
-    text = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    kept = F.expr("filter(split(coalesce(t, ''), '\\n', -1), (x, i) -> getbit(coalesce(get(dense, cast(i div 64 as int)), -1L), cast(i % 64 as int)) = 1)")
+    text = F.when(F.col("dense").isNull(), F.coalesce("t", F.lit(""))).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *own, text.alias(into), F.size(lines).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped")
-    )
+        *(F.col("row").getField(c).alias(c) for c in own),
+        text.alias(into), F.size(split_lines(F.col("t"))).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
