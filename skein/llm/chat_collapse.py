@@ -29,12 +29,14 @@ from skein.llm._store import materialize
 from skein.session import table
 
 CHUNK = 4096
+#: The chunk of null turns, before every other.
+NULLS = -(1 << 62)
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """(conv_id, n, p1, p2): hashes of every prefix of n turns."""
     rows = turns.where(F.col("conv_id").isNotNull()).select(
-        "conv_id", "turn", "role", "text", F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / CHUNK).alias("chunk")
+        "conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(NULLS)).alias("chunk")
     )
     within = Window.partitionBy("conv_id", "chunk").orderBy(
         F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text")
@@ -77,7 +79,7 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame, kept: DataFrame) -> DataFrame:
     """(conv_id, n_turns, rendered): ``<|role|>`` and text per turn, in order, a line feed after each."""
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    rows = turns.join(kept, "conv_id").select("conv_id", "n_turns", F.struct("turn", "role", "text", line.alias("line")).alias("t"))
+    rows = turns.select("conv_id", "turn", "role", "text").join(kept, "conv_id").select("conv_id", "n_turns", F.struct("turn", "role", "text", line.alias("line")).alias("t"))
     gathered = rows.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     return gathered.select("conv_id", "n_turns", F.array_join(F.col("ts.line"), "").alias("rendered"))
 
