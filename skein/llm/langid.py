@@ -10,16 +10,22 @@ positives are taken out of it, ``(count - n * fpr) / (1 - fpr)`` with
 ``fpr = fill ** hashes``, and the language with the highest corrected count
 decides. The score is that count's share of the text's n-grams.
 
-Training reads a bounded sample, as documented parameters say: of every
+Training reads a bounded sample of rows, as a documented parameter says: of every
 language about ``train_docs`` documents, those with the lowest hashes, and of
-each its first ``train_chars`` characters. Prediction reads whole texts.
+these the whole texts, as prediction does. ``share`` is part of the model, not of
+its data: rarer n-grams are names and loans that tell nothing, and dropping them
+keeps the filters as sparse for a sample of long documents as for one of short.
 
 Scale. Training gathers at most languages * train_docs documents and
 languages / share n-gram hashes; the table of ``slots`` masks is the only thing
 sent to executors (``slots`` * 8 bytes per 64 languages at most). Prediction is
 one narrow pass without a shuffle, in numpy, with pieces of bounded size.
 
-Defined cases. Null text or text without a letter: ``und``, score 0. No
+Very long texts go through in parts of about ``PART`` characters that end between
+words, whose counts add up.
+
+Defined cases. Null text or text without a letter (combining marks alone are
+none): ``und``, score 0. No
 labelled document at all: ``und`` for everything. Letters but no known n-gram:
 the most frequent training language, score 0. Ties go to the language with
 more training n-grams, then to the lower code. Rows that repeat are judged
@@ -47,28 +53,43 @@ from skein.session import table
 NS = (2, 3, 4, 5)
 SPACE = 32
 _MULT = [np.uint64(x | 1) for x in np.random.default_rng(41).integers(1 << 60, 1 << 63, max(NS), dtype=np.uint64).tolist()]
+PART = 1 << 18
 _FOLDED: np.ndarray | None = None
+_LETTER: np.ndarray | None = None
 
 
-def _fold_table() -> np.ndarray:
-    """Code point -> lower-case letter, or a space for whatever is no letter."""
-    global _FOLDED
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: the lower-case letter or mark, a space for whatever is neither; whether it is a letter."""
+    global _FOLDED, _LETTER
     if _FOLDED is None:
-        out = np.full(0x110000, SPACE, np.uint32)
+        out, letter = np.full(0x110000, SPACE, np.uint32), np.zeros(0x110000, bool)
         for c in range(0x110000):
             if 0xD800 <= c < 0xE000:
                 continue
             ch = chr(c)
-            if unicodedata.category(ch)[0] in "LM":
+            kind = unicodedata.category(ch)[0]
+            if kind in "LM":
                 low = ch.lower()
                 out[c] = ord(low) if len(low) == 1 else c
-        _FOLDED = out
-    return _FOLDED
+                letter[c] = kind == "L"
+        _FOLDED, _LETTER = out, letter
+    return _FOLDED, _LETTER
 
 
-def _codes(text: str) -> np.ndarray:
-    raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return _fold_table()[raw]
+def parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """The texts in parts of at most ``PART`` characters, cut between words where there is a space, and the text each part is of."""
+    out, own = [], []
+    for t, text in enumerate(texts):
+        at = 0
+        while len(text) - at > PART:
+            end = text.rfind(" ", at, at + PART)
+            end = end if end > at else at + PART
+            out.append(text[at:end])
+            own.append(t)
+            at = end
+        out.append(text[at:])
+        own.append(t)
+    return out, np.array(own, np.int64)
 
 
 def ngram_hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,16 +97,20 @@ def ngram_hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     pieces, owners = [], []
     letters = np.zeros(len(texts), bool)
     for t, text in enumerate(texts):
-        c = _codes(text)
-        if not len(c):
+        raw = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        if not len(raw):
             continue
+        folded, letter = _tables()
+        c = folded[raw]
         gap = c == SPACE
         keep = ~gap
-        letters[t] = keep.any()
+        letters[t] = letter[raw].any()
         if not letters[t]:
             continue
         keep[1:] |= ~gap[:-1]  # the first of a run of gaps stays
-        framed = np.concatenate(([SPACE], c[keep], [SPACE])).astype(np.uint64)
+        body = c[keep]
+        body = body[:-1] if body[-1] == SPACE else body
+        framed = np.concatenate(([SPACE], body, [SPACE])).astype(np.uint64)
         pieces.append(framed)
         owners.append(np.full(len(framed), t, np.int32))
     if not pieces:
@@ -129,13 +154,14 @@ class Filters:
         return found
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        filled = [t or "" for t in texts]
-        n, w = len(filled), len(self.langs)
+        filled, of = parts([t or "" for t in texts])
+        n, w = len(texts), len(self.langs)
         total, counts, letters = np.zeros(n), np.zeros((n, w)), np.zeros(n, bool)
         if not w:
             return ["und"] * n, total
         for h, own, has in ngram_hashes(filled):
-            letters = has
+            letters[of[has]] = True
+            own = of[own]
             masks = self.languages_of(h)
             total += np.bincount(own, minlength=n)
             for i in range(w):
@@ -148,11 +174,11 @@ class Filters:
 
 
 def fit(
-    labelled: DataFrame, train_docs: int = 2000, train_chars: int = 20_000, share: float = 2e-5, slots: int = 1 << 21, hashes: int = 3
+    labelled: DataFrame, train_docs: int = 2000, share: float = 2e-5, slots: int = 1 << 21, hashes: int = 3
 ) -> Filters:
     """Filters from rows (doc_id, text, lang); rows without text or lang teach nothing."""
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(
-        "lang", F.xxhash64("doc_id", "text").alias("r"), F.substring("text", 1, train_chars).alias("text")
+        "lang", F.xxhash64("doc_id", "text").alias("r"), "text"
     )
     # a hash below the language's limit: of n rows a share of train_docs / n, chosen by what they hold
     # (one row a language, as many as the masks have bits)
@@ -164,8 +190,10 @@ def fit(
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                for at in range(0, len(part), 200):
-                    for h, _, _ in ngram_hashes(part["text"].iloc[at : at + 200].tolist()):
+                pieces, _ = parts(part["text"].tolist())
+                ends = np.cumsum([len(x) for x in pieces])
+                for group in np.split(np.arange(len(pieces)), np.searchsorted(ends, np.arange(1 << 20, ends[-1], 1 << 20))):
+                    for h, _, _ in ngram_hashes([pieces[i] for i in group]):
                         got, n = np.unique(h, return_counts=True)
                         yield pd.DataFrame({"lang": lang, "h": got.view(np.int64), "n": n})
 
