@@ -17,7 +17,8 @@ hash bits turns nearly all places away before the sorted lookup. Only hits
 leave the pass; per document they are summed by a partial aggregate.
 
 Defined cases. A-Z count as a-z. Null text or item has no words. Items that
-repeat count by item_id; a null item_id is ignored. Rows with a null doc_id are
+repeat count by item_id; an item with a null item_id is no part of the verdicts,
+which name items, but ``clean`` looks for it like any other. Rows with a null doc_id are
 judged like others; rows that repeat get the verdict of all rows of that doc_id
 and text. Ties go to the smallest item_id. Extra columns pass ``clean`` through.
 """
@@ -156,7 +157,7 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = 1_000_000) -> DataFrame:
     """``docs`` without contaminated rows: one narrow pass per block, no shuffle."""
-    for block in item_blocks(benchmark, block_words):
+    for block in item_blocks(benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text"), block_words):
 
         def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
             for batch in batches:
