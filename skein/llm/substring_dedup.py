@@ -3,25 +3,34 @@
 A window is ``window`` consecutive words. A word goes when some window that
 covers it also starts at another place, in the same document or another.
 
-Reference. Every window names an anchor: the leftmost smallest hash among its
-``seed``-word grams, which depends on the window's words alone, so equal windows
-name equal anchors. The phrases around anchors that occur more than once are
-the reference; nothing else can hold a repeated window. It is cut into blocks
-by anchor hash, and each block is indexed by the hashes of its windows.
+Reference. The corpus is its own reference. Every window names an anchor: the
+leftmost smallest hash among its ``seed``-word grams, which depends on the
+window's words alone, so equal windows name equal anchors, at the same distance
+from their start. The phrases around anchors that occur more than once (all
+windows that name one occurrence) are the reference; nothing else can hold a
+repeated window. It is cut into blocks by anchor hash, and a block's index is the
+suffix order of its phrases, whose symbols are window hashes.
 
 Parsing. A document's phrases go to the blocks of their anchors, so it is
-factored against every block that can match it without visiting the others.
-Within a phrase the parse is greedy: a factor starts at the first window that
-the block holds from another place and grows word by word while the next one
-is held too. Factors of ``window`` words or more come out; a factor that ends
-at its phrase's boundary goes on in the next phrase's block, and the union of
-factors per document makes the duplicate spans.
+factored against every block that can match it without visiting the others. The
+parse of a phrase is greedy: at the first window that another place of the block
+holds too it takes the longest match, which stands beside the phrase in the
+suffix order, and emits a factor (reference document, position there, words
+start to end); it goes on behind the match. As a symbol is a whole window, the
+next factor starts with the window that crosses the last one's end, which is the
+check at the boundary: no repeated window between two factors is passed over. A
+factor that ends with its phrase goes on in the block of the next anchor. The
+union of a document's factors makes its duplicate spans.
 
 Scale. One narrow pass finds anchors (about 2 / (window - seed + 2) of the
 words); their counts are a partial aggregate; only phrases of repeated anchors
 are shuffled, once, as window hashes. An anchor of more than ``hot`` places is
-not gathered: its windows are counted by a partial aggregate and joined back,
-which adaptive execution may split. Equality is on 128 bits (anchor and window).
+not gathered: its reference is a table of distinct windows with two places each,
+made by a partial aggregate, and its phrases are factored along those places
+after a join that adaptive execution may split. Equality is on 128 bits (anchor
+and window). Blocks are dealt straight from a written table: behind a join on
+the same key Spark leaves a repartition out, and adaptive execution may then
+split an anchor over tasks.
 
 Defined cases. Null or short text has no window and loses nothing. Rows with a
 null doc_id take part like others. Rows that repeat (also with equal doc_id)
@@ -34,11 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm._store import discard, free_shuffles, materialize, partitions, text_key
-from skein.llm._words import Words, grams, slices, word_hashes
+from skein.llm._words import Words, grams, mix64, slices, word_hashes
 from skein.session import table
 
 
@@ -90,18 +99,21 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def phrases(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """(g, doc_id, tk, start, windows) of the anchors in each row's ``places``: hashes of the windows that name the anchor."""
+    """(g, doc_id, tk, start, lead, hot, windows) of the anchors in each row's ``places`` and ``hot_places``: hashes of the
+    windows that name the anchor; ``lead``: how many earlier windows could have named it."""
+    width = window - seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = word_hashes(part.column("text"), fold=False)
                 starts, at, g = window_anchors(words, window, seed)
-                wanted = np.zeros(len(words.hashes) + 1, bool)
-                lists = part.column("places")
-                sizes = np.diff(np.asarray(lists.offsets, np.int64))
-                wanted[np.repeat(words.bounds[:-1], sizes) + np.asarray(lists.flatten(), np.int64)] = True
-                keep = wanted[at]
+                kind = np.zeros(len(words.hashes) + 1, np.int8)
+                for mark, column in ((1, "places"), (2, "hot_places")):
+                    lists = part.column(column)
+                    sizes = np.diff(np.asarray(lists.offsets, np.int64))
+                    kind[np.repeat(words.bounds[:-1], sizes) + np.asarray(lists.flatten(), np.int64)] = mark
+                keep = kind[at] > 0
                 starts, at, g = starts[keep], at[keep], g[keep]
                 if not len(at):
                     continue
@@ -114,48 +126,93 @@ def phrases(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(g[first].view(np.int64)), part.column("doc_id").take(take), part.column("tk").take(take),
-                        pa.array((starts[first] - words.bounds[own]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))),
+                        pa.array((starts[first] - words.bounds[own]).astype(np.int32)), pa.array((starts[first] - at[first] + width - 1).astype(np.int32)),
+                        pa.array(kind[at[first]] == 2), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64))),
                     ],
-                    ["g", "doc_id", "tk", "start", "windows"],
+                    ["g", "doc_id", "tk", "start", "lead", "hot", "windows"],
                 )
 
-    return docs.mapInArrow(run, "g long, doc_id long, tk long, start int, windows array<long>")
-
-
-def _factors(held: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors: first and last window of each run of held windows inside one phrase."""
-    before = np.append(False, held[:-1] & (owner[1:] == owner[:-1]))
-    after = np.append(held[1:] & (owner[1:] == owner[:-1]), False)
-    return np.flatnonzero(held & ~before), np.flatnonzero(held & ~after)
-
-
-def _emit(rows: pa.Table, held: np.ndarray, owner: np.ndarray, first: np.ndarray, window: int) -> pa.RecordBatch:
-    a, b = _factors(held, owner)
-    own = owner[a]
-    start = rows.column("start").to_numpy()[own] + (a - first[own])
-    take = pa.array(own)
-    return pa.RecordBatch.from_arrays(
-        [rows.column("doc_id").combine_chunks().take(take), rows.column("tk").combine_chunks().take(take), pa.array(start.astype(np.int32)), pa.array((start + (b - a) + window).astype(np.int32))],
-        ["doc_id", "tk", "s", "e"],
-    )
-
-
-def factor_blocks(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, tk, s, e): factors of phrases against the reference block of their anchors; s and e count words."""
+    return docs.mapInArrow(run, "g long, doc_id long, tk long, start int, lead int, hot boolean, windows array<long>")
+
+
+class ReferenceBlock:
+    """Phrases of some anchors, as rows of window symbols, with their suffix order.
+
+    Equal windows stand at the same distance from their anchors, so two phrases
+    match column by column, and one order per column is the suffix array.
+    """
+
+    def __init__(self, g: np.ndarray, lead: np.ndarray, sizes: np.ndarray, windows: np.ndarray, width: int):
+        n = len(g)
+        owner = np.repeat(np.arange(n), sizes)
+        column = lead[owner] + np.arange(len(windows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # a place without a window equals no other
+        self.symbols = mix64(np.arange(n * width, dtype=np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)).reshape(n, width)
+        self.symbols[owner, column] = windows.view(np.uint64)
+        keys = mix64(self.symbols ^ (g.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+        self.above, self.below = (np.full((n, width), -1, np.int32) for _ in range(2))
+        self.held_from = np.full((n, width + 1), width, np.int32)  # the next column that another phrase holds too
+        rank = np.zeros(n, np.int64)
+        for c in range(width - 1, -1, -1):
+            key = keys[:, c]
+            order = np.lexsort((rank, key))
+            key, last = key[order], rank[order]
+            same = key[1:] == key[:-1]
+            rank[order] = np.append(0, np.cumsum(~same | (last[1:] != last[:-1])))
+            self.above[order[1:], c] = np.where(same, order[:-1], -1)
+            self.below[order[:-1], c] = np.where(same, order[1:], -1)
+            held = np.zeros(n, bool)
+            held[order[1:]] = same
+            held[order[:-1]] |= same
+            self.held_from[:, c] = np.where(held, c, self.held_from[:, c + 1])
+
+    def match(self, row: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Length of the match of each row from its column with another row; 0 where that is -1."""
+        columns = np.arange(self.symbols.shape[1])
+        ends = (self.symbols[row] != self.symbols[other]) & (columns >= at[:, None])
+        ends = np.where(ends.any(1), ends.argmax(1), len(columns))
+        return np.where(other < 0, 0, ends - at)
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, column, length, reference row) of the greedy parse of every phrase."""
+        out = [tuple(np.zeros(0, np.int64) for _ in range(4))]
+        row = np.arange(len(self.symbols))
+        at = self.held_from[:, 0].astype(np.int64)
+        width = self.symbols.shape[1]
+        while True:
+            row, at = row[at < width], at[at < width]
+            if not len(row):
+                return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            up, down = self.above[row, at], self.below[row, at]
+            by_up, by_down = self.match(row, at, up), self.match(row, at, down)
+            length = np.maximum(by_up, by_down)
+            out.append((row, at, length, np.where(by_up >= by_down, up, down)))
+            at = self.held_from[row, at + length].astype(np.int64)
+
+
+FACTOR = "doc_id long, tk long, s int, e int, ref_doc long, ref_pos int"
+
+
+def factor_blocks(found: DataFrame, window: int, seed: int) -> DataFrame:
+    """(doc_id, tk, s, e, ref_doc, ref_pos): factors of the phrases in a written table against the block of their anchors; s, e and ref_pos count words."""
+    width = window - seed + 1
 
     def parse(rows: pa.Table) -> pa.RecordBatch:
         lists = rows.column("windows").combine_chunks()
         sizes = np.diff(np.asarray(lists.offsets, np.int64))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        first = np.cumsum(sizes) - sizes
-        flat = np.asarray(lists.flatten(), np.int64)
-        keys = np.repeat(rows.column("g").to_numpy(), sizes)
-        order = np.lexsort((flat, keys))
-        k, f = keys[order], flat[order]
-        same = np.append((k[1:] == k[:-1]) & (f[1:] == f[:-1]), False)
-        held = np.zeros(len(flat), bool)
-        held[order] = same | np.append(False, same[:-1])
-        return _emit(rows, held, owner, first, window)
+        start, lead = (rows.column(c).to_numpy().astype(np.int64) for c in ("start", "lead"))
+        block = ReferenceBlock(rows.column("g").to_numpy(), lead, sizes, np.asarray(lists.flatten(), np.int64), width)
+        row, at, length, ref = block.factors()
+        s = start[row] + at - lead[row]
+        take, take_ref = pa.array(row), pa.array(ref)
+        doc_id, tk = (rows.column(c).combine_chunks() for c in ("doc_id", "tk"))
+        return pa.RecordBatch.from_arrays(
+            [
+                doc_id.take(take), tk.take(take), pa.array(s.astype(np.int32)), pa.array((s + length - 1 + window).astype(np.int32)),
+                doc_id.take(take_ref), pa.array((start[ref] + at - lead[ref]).astype(np.int32)),
+            ],
+            ["doc_id", "tk", "s", "e", "ref_doc", "ref_pos"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -175,20 +232,31 @@ def factor_blocks(found: DataFrame, window: int) -> DataFrame:
         if size:
             yield parse(pa.Table.from_batches(kept))
 
-    blocks = found.repartition(partitions(found.sparkSession), "g").sortWithinPartitions("g")
-    return blocks.mapInArrow(run, "doc_id long, tk long, s int, e int")
+    blocks = found.select("g", "doc_id", "tk", "start", "lead", "windows").repartition(partitions(found.sparkSession), "g").sortWithinPartitions("g")
+    return blocks.mapInArrow(run, FACTOR)
 
 
 def factor_hot(found: DataFrame, window: int) -> DataFrame:
-    """The same for anchors with too many places for one task: window counts by partial aggregate, joined back."""
+    """The same for anchors with too many places for one task: along the places that a table of distinct windows names."""
     each = found.select("g", "doc_id", "tk", "start", F.posexplode("windows").alias("o", "w"))
-    index = materialize(each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hot-windows")
-    held = each.join(index, ["g", "w"])
-    return held.select("doc_id", "tk", (F.col("start") + F.col("o")).alias("s"), (F.col("start") + F.col("o") + window).alias("e"))
-
-
-def duplicate_spans(docs: DataFrame, window: int = 35, seed: int = 10, hot: int = 50_000) -> DataFrame:
-    """(doc_id, tk, spans array<struct<s, e>>) of the documents that hold a repeated window; spans may overlap."""
+    each = each.withColumn("at", F.struct("doc_id", "tk", (F.col("start") + F.col("o")).alias("pos")))
+    index = each.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    index = materialize(index.where("n > 1").drop("n"), "hot-windows")
+    ref = F.when(F.col("at").eqNullSafe(F.col("lo")), F.col("hi")).otherwise(F.col("lo"))
+    held = each.join(index, ["g", "w"]).select("doc_id", "tk", "start", "o", ref.alias("ref")).distinct()
+    # a factor: windows in a row that go on at the same reference
+    held = held.withColumn("shift", F.col("ref.pos") - F.col("o"))
+    along = Window.partitionBy("doc_id", "tk", "start", "ref.doc_id", "ref.tk", "shift").orderBy("o")
+    held = held.withColumn("run", F.col("o") - F.row_number().over(along))
+    runs = held.groupBy("doc_id", "tk", "start", F.col("ref.doc_id").alias("ref_doc"), F.col("ref.tk").alias("ref_tk"), "shift", "run")
+    runs = runs.agg(F.min("o").alias("a"), F.max("o").alias("b"))
+    return runs.select(
+        "doc_id", "tk", (F.col("start") + F.col("a")).alias("s"), (F.col("start") + F.col("b") + window).alias("e"), "ref_doc", (F.col("shift") + F.col("a")).alias("ref_pos")
+    )
+
+
+def factors(docs: DataFrame, window: int = 35, seed: int = 10, hot: int = 50_000) -> DataFrame:
+    """(doc_id, tk, s, e, ref_doc, ref_pos): the parse of ``docs`` (doc_id, text) relative to all of them, factors of a window or more."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text")
     all_anchors = materialize(anchors(keyed, window, seed), "anchors")
@@ -198,14 +266,19 @@ def duplicate_spans(docs: DataFrame, window: int = 35, seed: int = 10, hot: int
     repeated = materialize(all_anchors.join(counts, "g"), "repeated-anchors")
     discard(all_anchors)
     free_shuffles(spark)
-    places = repeated.groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("places"))
-    own = places.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "places")
-    hit = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("doc_id", "tk", "text", "places")
+    own = repeated.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(
+        F.collect_set(F.when(F.col("n") <= hot, F.col("pos"))).alias("places"), F.collect_set(F.when(F.col("n") > hot, F.col("pos"))).alias("hot_places")
+    )
+    hit = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk"))).select("doc_id", "tk", "text", "places", "hot_places")
     found = materialize(phrases(hit, window, seed), "phrases")
+    discard(repeated)
     free_shuffles(spark)
-    crowded = repeated.where(F.col("n") > hot).select("g").distinct()
-    factors = factor_blocks(found.join(crowded, "g", "left_anti"), window).union(factor_hot(found.join(crowded, "g", "left_semi"), window))
-    return factors.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    return factor_blocks(found.where("NOT hot"), window, seed).union(factor_hot(found.where("hot"), window))
+
+
+def duplicate_spans(docs: DataFrame, window: int = 35, seed: int = 10, hot: int = 50_000) -> DataFrame:
+    """(doc_id, tk, spans array<struct<s, e>>) of the documents that hold a repeated window; spans may overlap."""
+    return factors(docs, window, seed, hot).groupBy("doc_id", "tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
