@@ -6,30 +6,40 @@ trees branch the representatives by minwise tokens: at depth d of a tree a
 document follows the branch of its smallest shingle under the tree's d-th hash
 function, so two documents of Jaccard similarity s stay together with
 probability s per step. A node of at most ``small`` documents is compared
-exhaustively, on full shingle sets; a larger node branches again. Nodes with
-the same members (one group found by several trees) are compared once.
-
-Recall. A document's node becomes small at some depth d in each tree, and a
-partner at the threshold t is in it with probability t^d. A document's chance to
-miss a partner is the product of 1 - t^d over its trees, and more trees are
-drawn for the documents above ``MISS`` until none is left: 8 trees are enough at
-t = 0.85 (10 at 0.80) where all nodes are small at depth 2, and none needs more
-than ln(MISS) / ln(1 - t^12) = 67 (143). A pair is found through either end, so
-a later round holds only the documents still open, and of its nodes only those
-that join several components. Every depth is looked at.
-
-Dense nodes. What is still large at the last depth agrees on all of a tree's
-tokens, so it is a group of near copies. Its members are compared with a few
-drawn pivots; then, with the components of all links so far, the members outside
-a node's largest component are compared with every member, by blocks spread over
-tasks. Pairs inside one component are never compared again: they add nothing to
-the result, and everything else is compared, whatever the node's size.
-
-Scale. Shuffled are signatures (4 bytes per function), node keys and, once, the
-texts; only texts of documents in nodes of two or more go to nodes. Node sizes
-are partial aggregates. A node's members meet in one task only up to ``small``.
-Links are spanning (at most members - 1 per small node) and become
-components by joins (``components.py``), never on the driver.
+exhaustively; a larger node branches again.
+
+Comparing. All pairs of a node are first held against each other by one byte of
+each minwise token; pairs whose agreement is six standard deviations below the
+threshold (a chance under 1e-6) are out. What is left falls into groups, and only
+their texts are fetched: every pair of a group that is still possible is decided
+on full shingle sets. Equal groups found by several trees are decided once.
+
+Large nodes of near copies. Every large node names a few pivots; each document is
+held against the first pivots, in one fixed order, that it may be similar to.
+With the components of these links a large node whose largest component leaves at
+most ``small`` members outside is closed at its depth: the outsiders are compared
+with every member, by blocks spread over tasks. Pairs inside one component are
+not compared again, they add nothing to the result. What is still open at the
+last depth is closed the same way, however many the outsiders.
+
+Recall. A document's node closes (or it stands alone) at some depth in each tree.
+Which depth that is depends on the same tokens that tell whether a partner stays
+(among documents of one template, a branch becomes small just where it follows a
+token of few), so the depths of one tree are not used for that tree's chance: with
+d the greatest closing depth in any of a document's trees, a partner at the
+threshold t is in each tree's closing node with probability t^d at least, and the
+chance to miss it is (1 - t^d) to the number of trees. More trees are drawn for
+the documents above ``MISS`` until none is left: 8 trees are enough at t = 0.85
+(10 at 0.80) where all nodes close at depth 2, and none needs more than
+ln(MISS) / ln(1 - t^12) = 67 (143). A pair is found through either end, so a
+later round holds only the documents still open.
+
+Scale. Shuffled are signatures (4 bytes per function), node keys, one byte per
+function for documents in nodes of two or more, and, once for pivots and once
+for groups, the texts; only texts of documents with a possible partner leave that
+shuffle. Node sizes are partial aggregates. At most ``small`` members, or blocks
+of as many, meet in one task. Links are spanning per task and become components
+by joins (``components.py``), never on the driver.
 
 Defined cases. No word or null text: empty set, n_shingles 0, links with
 nothing. Fewer words than a shingle: the whole sequence is the one shingle.
@@ -49,15 +59,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._runs import runs
+from skein.llm._runs import run_bounds, runs
 from skein.llm._store import discard, free_shuffles, materialize, partitions, text_key
 from skein.llm._words import gram_weights, grams, mix64, slices, word_hashes
 from skein.llm.components import connected_components
 from skein.session import table
 
 TREES, DEPTH = 8, 12
-#: The first depth at which a node's size is looked at.
-TOP = 2
+#: The depths at which a node's size is looked at, beside the last.
+TOP, LEVELS = 2, (2, 3, 4, 5, 6, 8, 10)
+#: Functions whose lowest byte tells possible pairs, and how many standard deviations below the threshold are possible.
+BYTES, SIGMAS = 128, 6
+#: Pivots a document is held against, and members beside one pivot in a task.
+PIVOTS, BESIDE = 2, 256
 #: A document's greatest chance to miss a partner at the threshold.
 MISS = 4e-5
 
@@ -99,33 +113,35 @@ def signatures(sets: list[np.ndarray], count: int, seed: int = 85) -> np.ndarray
 
 
 def features(docs: DataFrame, n: int, trees: int, depth: int, seed: int = 85) -> DataFrame:
-    """(doc_id, tk, n_shingles, s1, s2, sig): set size, 128 bits of the set, minwise tokens."""
+    """(doc_id, tk, n_shingles, s1, s2, sig, low): set size, 128 bits of the set, minwise tokens, a byte of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 21):
                 sets = shingle_sets(part.column("text"), n)
                 full = [s for s in sets if len(s)]
-                sigs = iter(signatures(full, trees * depth, seed).view(np.int32) if full else [])
+                made = signatures(full, trees * depth, seed) if full else np.zeros((0, 1), np.uint32)
+                sigs, low = iter(made.view(np.int32)), iter(made[:, :BYTES].astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("tk"), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([int(s.sum(dtype=np.uint64)) - (1 << 63) for s in sets], pa.int64()),
                         pa.array([int(np.bitwise_xor.reduce(mix64(s + np.uint64(77)))) - (1 << 63) if len(s) else 0 for s in sets], pa.int64()),
                         pa.array([next(sigs).tolist() if len(s) else None for s in sets], pa.list_(pa.int32())),
+                        pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "tk", "n_shingles", "s1", "s2", "sig"],
+                    ["doc_id", "tk", "n_shingles", "s1", "s2", "sig", "low"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, tk long, n_shingles long, s1 long, s2 long, sig array<int>")
+    return docs.mapInArrow(run, "doc_id long, tk long, n_shingles long, s1 long, s2 long, sig array<int>, low binary")
 
 
 def _similar(inter: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
 
-def node_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Spanning links among the members of one small node, every pair compared on full sets."""
+def node_links(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links among the members of one group, every pair with an end in ``left`` (all, if None) decided on full sets."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     root = list(range(n))
@@ -136,27 +152,40 @@ def node_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    if n <= 8:
+    flat, who = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+
+    def partners(i: int) -> list[tuple[int, int]]:
+        place = np.minimum(np.searchsorted(sets[i], flat), sizes[i] - 1)
+        close = _similar(np.bincount(who[sets[i][place] == flat], minlength=n), sizes[i], sizes, percent)
+        close[i] = False
+        return [(i, j) for j in np.flatnonzero(close).tolist()]
+
+    star = left is not None and not left.all()
+    if not star and n <= 8:
         pairs = [
             (i, j) for i in range(n) for j in range(i + 1, n)
             if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])
             and _similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j], percent)
         ]
+    elif star:
+        pairs = (pair for i in np.flatnonzero(left).tolist() for pair in partners(i))
+    elif n > 64 and (outside := _outside(n, partners)) is not None:
+        pairs = outside
     else:
-        flat, who = np.concatenate(sets), np.repeat(np.arange(n), sizes)
         _, column = np.unique(flat, return_inverse=True)
         shared = np.bincount(column)[column] > 1  # a shingle of one member adds to no intersection
         _, column = np.unique(column[shared], return_inverse=True)
         who, inter = who[shared], np.zeros((n, n), np.float32)
         order = np.argsort(column, kind="stable")
         column, who = column[order], who[order]
-        for low in range(0, int(column.max(initial=-1)) + 1, 1 << 15):
-            a, b = np.searchsorted(column, (low, low + (1 << 15)))
-            m = np.zeros((n, 1 << 15), np.float32)
+        span = max(1 << 10, (1 << 22) // n)
+        for low in range(0, int(column.max(initial=-1)) + 1, span):
+            a, b = np.searchsorted(column, (low, low + span))
+            m = np.zeros((n, span), np.float32)
             m[who[a:b], column[a:b] - low] = 1
             inter += m @ m.T
         close = np.triu(_similar(inter, sizes[:, None], sizes[None, :], percent), 1)
-        pairs = list(zip(*(x.tolist() for x in np.nonzero(close)), strict=True))
+        pairs = zip(*(x.tolist() for x in np.nonzero(close)), strict=True)
     out = []
     for i, j in pairs:
         a, b = find(i), find(j)
@@ -166,80 +195,165 @@ def node_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def small_node_links(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) from rows (node, id, text) of nodes that fit a task."""
+def _outside(n: int, partners) -> list[tuple[int, int]] | None:
+    """Links of a group most of which some first members hold together: those members' links and those of all others' outside
+    the largest component; None if that is no shorter than comparing all pairs."""
+    label, pairs, seen = np.arange(n), [], set()
+    for _ in range(8):
+        i = int(np.flatnonzero(label == np.bincount(label).argmax())[0]) if not seen else next((k for k in range(n) if k not in seen and label[k] != major), -1)
+        if i < 0:
+            break
+        seen.add(i)
+        for a, b in partners(i):
+            pairs.append((a, b))
+            if label[a] != label[b]:
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+        major = np.bincount(label).argmax()
+    rest = [k for k in np.flatnonzero(label != major).tolist() if k not in seen]
+    if len(rest) > n // 8:
+        return None
+    return pairs + [pair for k in rest for pair in partners(k)]
+
+
+def least_agreement(percent: int, functions: int) -> float:
+    """Tokens on which a pair at the threshold agrees, but for a chance under 1e-6."""
+    t = percent / 100
+    return functions * t - SIGMAS * math.sqrt(functions * t * (1 - t))
+
+
+def possible_groups(low: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """For each member of a task the least member of its group: what a chain of possible pairs with an end in ``left`` joins."""
+    n = len(low)
+    least = least_agreement(percent, low.shape[1])
+    rows = np.flatnonzero(left)
+    label = np.arange(n)
+    near = np.zeros((len(rows), n), bool)
+    step = max(1, (1 << 23) // (n * low.shape[1]))
+    for at in range(0, len(rows), step):
+        own = rows[at : at + step]
+        # no pair with sizes too far apart, and none inside a component
+        maybe = (100 * np.minimum(sizes[own, None], sizes) >= percent * np.maximum(sizes[own, None], sizes)) & (comps[own, None] != comps)
+        i, j = np.nonzero(maybe)
+        for part in range(0, len(i), 1 << 16):
+            a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+            maybe[a, b] = (low[own[a]] == low[b]).sum(1, dtype=np.uint16) >= least
+        near[at : at + step] = maybe
+    if not near.any():
+        return label
+    while True:
+        mine = np.where(near, label, n).min(1)
+        mine = np.minimum(mine, label[rows])
+        now = np.minimum(label, np.where(near, mine[:, None], n).min(0))
+        now[rows] = np.minimum(now[rows], mine)
+        if (now == label).all():
+            return label
+        label = now
+
+
+def possible(tasks: DataFrame, reps: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+    """(group, id, lead) from rows (task, id, lead) of tasks that fit one: members that may have a partner, each group once."""
+    known = reps.select("id", "doc_id", "n_shingles", "low")
+    if comps is None:
+        rows = tasks.join(known.withColumn("c", F.col("id")), "id")
+    else:
+        named = known.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+        # without a component of its own a class is apart from all others, also from one that shares its doc_id
+        rows = tasks.join(named.withColumn("c", F.coalesce("component", "id")), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, "task"):
+            bounds = run_bounds(rows.column("task").to_numpy())
+            ids, sizes, comp, left = (np.asarray(rows.column(c)) for c in ("id", "n_shingles", "c", "lead"))
+            low = rows.column("low").combine_chunks()
+            low = np.frombuffer(b"".join(low.to_pylist()), np.uint8).reshape(len(ids), -1)
+            out = []
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if b - a < 2:
+                    continue
+                label = possible_groups(low[a:b], sizes[a:b], comp[a:b], left[a:b], percent)
+                count = np.bincount(label, minlength=b - a)
+                member = np.flatnonzero(count[label] > 1)
+                if not len(member):
+                    continue
+                own, lead = ids[a:b][member], left[a:b][member]
+                name = np.zeros(b - a, np.uint64)  # a group is named by its members
+                np.add.at(name, label[member], mix64(own.view(np.uint64) * np.uint64(2) + lead))
+                out.append((mix64(name + count.astype(np.uint64))[label[member]].view(np.int64), own, lead))
+            if out:
+                group, own, lead = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(own), pa.array(lead)], ["group", "id", "lead"])
+
+    dealt = rows.select("task", "id", "lead", "n_shingles", "low", "c").repartition(partitions(tasks.sparkSession), "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(run, "group long, id long, lead boolean")
+
+
+def verified(groups: DataFrame, keyed: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): spanning links of doc_ids from rows (group, id, lead), decided on the full sets of whole texts."""
+    wanted = groups.groupBy("id").agg(F.collect_set(F.struct("group", "lead")).alias("groups"))
+    texts = keyed.where("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "tk").alias("id"), F.col("doc_id").alias("own"), "text")
+    texts = texts.join(wanted, "id").dropDuplicates(["id"])
+    members = texts.select("own", "text", F.explode("groups").alias("at")).select(F.col("at.group").alias("group"), F.col("at.lead").alias("lead"), "own", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs(batches, "node"):
-            node = rows.column("node").to_numpy()
-            edges = np.flatnonzero(np.append(True, node[1:] != node[:-1])).tolist() + [len(node)]
-            for a, b in zip(edges, edges[1:], strict=False):
+        for rows in runs(batches, "group"):
+            bounds = run_bounds(rows.column("group").to_numpy())
+            for a, b in zip(bounds, bounds[1:], strict=False):
                 part = rows.slice(a, b - a)
-                ids = part.column("id").to_pylist()
-                links = node_links(shingle_sets(part.column("text").combine_chunks(), n), percent)
+                ids, left = part.column("own").to_pylist(), np.asarray(part.column("lead"))
+                links = node_links(shingle_sets(part.column("text").combine_chunks(), n), percent, left)
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], ["a", "b"])
 
-    dealt = members.select("node", "id", "text").repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node")
+    dealt = members.repartition(partitions(members.sparkSession), "group").sortWithinPartitions("group")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def pivot_links(members: DataFrame, n: int, percent: int, pivots: int = 8) -> DataFrame:
-    """(a, b) from rows (node, id, text) of large nodes: each member with the node's few drawn pivots."""
-    draw = F.xxhash64("node", "id")
-    chosen = members.groupBy("node", F.pmod(draw, F.lit(pivots)).alias("slot")).agg(F.min(F.struct(draw.alias("h"), "id")).alias("p"))
-    chosen = chosen.select("node", F.col("p.id").alias("id"))
-    texts = members.join(chosen, ["node", "id"]).groupBy("node").agg(F.collect_list(F.struct("id", "text")).alias("pivots"))
-    rows = members.join(texts, "node").select("node", "id", "text", F.col("pivots.id").alias("pids"), F.col("pivots.text").alias("ptexts"))
+def pivot_groups(large: DataFrame, pivots: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(group, id, lead): each member of a large node (id, node) beside the first pivots (node, pid) it may be similar to."""
+    least = least_agreement
+    faces = pivots.join(reps.select(F.col("id").alias("pid"), F.col("low").alias("plow")), "pid")
+    rows = large.join(faces, "node").where("id <> pid").select("id", "pid", "plow").join(reps.select("id", "low"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                out = []
-                own = shingle_sets(part.column("text"), n)
-                for node, i, s, pids, ptexts in zip(part.column("node").to_pylist(), part.column("id").to_pylist(), own, part.column("pids").to_pylist(), part.column("ptexts"), strict=True):
-                    if node not in known:
-                        if len(known) >= 64:
-                            known.clear()
-                        known[node] = shingle_sets(pa.array(ptexts.as_py(), pa.string()), n)
-                    for p, q in zip(pids, known[node], strict=True):
-                        if p != i and _similar(len(np.intersect1d(s, q, assume_unique=True)), len(s), len(q), percent):
-                            out.append((i, p))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def rest_links(members: DataFrame, components: DataFrame, n: int, percent: int, block: int = 64) -> DataFrame | None:
-    """(a, b) that complete large nodes: rows (node, id, text), components (id, component) found so far.
-
-    A pair that still joins two components has an end outside its node's
-    largest one, so comparing those outsiders with every member, by blocks,
-    leaves out no link that matters. None if no node has outsiders.
-    """
-    known = components.select(F.col("id").alias("_id"), "component")
-    at = members.select("node", "id").join(known, F.col("id") == F.col("_id"), "left").select("node", "id", F.coalesce("component", "id").alias("c"))
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("low", "plow"))
+            keep = pa.array((x == y).sum(1) >= least(percent, x.shape[1]))
+            yield batch.select(["id", "pid"]).filter(keep)
+
+    near = rows.select("id", "pid", "low", "plow").mapInArrow(run, "id long, pid long")
+    first = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("pid").alias("h"), "pid"))), 1, PIVOTS).alias("ps"))
+    pairs = materialize(first.select("id", F.explode("ps.pid").alias("pid")), "pivot-pairs")
+    sizes = pairs.groupBy("pid").agg(F.ceil(F.count(F.lit(1)) / BESIDE).cast("int").alias("blocks"))
+    beside = pairs.join(sizes, "pid").select(F.xxhash64(F.lit("pivot"), "pid", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("group"), "id", "pid")
+    heads = beside.select("group", F.col("pid").alias("id"), F.lit(True).alias("lead")).distinct()
+    return beside.select("group", "id", F.lit(False).alias("lead")).union(heads)
+
+
+def node_parts(large: DataFrame, reps: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id, c) of members of large nodes with their components, and (node, major, size, outside)."""
+    named = reps.select("id", "doc_id").join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    at = large.select("node", "id").join(named.select("id", F.coalesce("component", "id").alias("c")), "id")
     counts = at.groupBy("node", "c").agg(F.count(F.lit(1)).alias("k"))
-    major = counts.groupBy("node").agg(F.max(F.struct("k", (-F.col("c")).alias("c"))).alias("m"), F.sum("k").alias("size"))
-    major = materialize(
-        major.select("node", (-F.col("m.c")).alias("major"), "size", (F.col("size") - F.col("m.k")).alias("outside")).where("outside > 0"), "major-components"
-    )
-    if major.isEmpty():
-        return None
-    left, right = F.ceil(F.col("outside") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
-    open_ = at.join(major, "node").select(
-        "node", "id", (F.col("c") != F.col("major")).alias("out"), left.alias("lefts"), right.alias("rights"), F.xxhash64("id").alias("h")
+    major = counts.groupBy("node").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("size"))
+    return at, materialize(major.select("node", F.col("m.c").alias("major"), "size", (F.col("size") - F.col("m.k")).alias("outside")), "major-components")
+
+
+def outsider_tasks(at: DataFrame, major: DataFrame, small: int) -> DataFrame:
+    """(task, id, lead): blocks of the members outside a node's largest component beside blocks of all its members."""
+    lefts, rights = F.ceil(F.col("outside") / (small // 2 + 1)).cast("int"), F.ceil(F.col("size") / small).cast("int")
+    rows = at.join(major.where("outside > 0"), "node").select(
+        "node", "id", (F.col("c") != F.col("major")).alias("out"), lefts.alias("lefts"), rights.alias("rights"), F.xxhash64("id").alias("h")
     )
+
     def every(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    task = F.xxhash64("node", "i", "j").alias("task")
-    inner = open_.withColumn("j", F.pmod("h", F.col("rights"))).withColumn("i", every("lefts")).select(task, "node", "id")
-    outer = open_.where("out").withColumn("i", F.pmod("h", F.col("lefts"))).withColumn("j", every("rights")).select(task, "node", "id")
-    rows = inner.union(outer).join(members, ["node", "id"]).select(F.col("task").alias("node"), "id", "text")
-    return small_node_links(rows, n, percent)
+    task = F.xxhash64(F.lit("outside"), "node", "i", "j").alias("task")
+    inner = rows.withColumn("j", F.pmod("h", F.col("rights"))).withColumn("i", every("lefts")).select(task, "id", F.lit(False).alias("lead"))
+    outer = rows.where("out").withColumn("i", F.pmod("h", F.col("lefts"))).withColumn("j", every("rights")).select(task, "id", F.lit(True).alias("lead"))
+    return inner.union(outer).groupBy("task", "id").agg(F.max("lead").alias("lead"))
 
 
 def _log_miss(percent: int, depth: int) -> float:
@@ -247,66 +361,65 @@ def _log_miss(percent: int, depth: int) -> float:
     return math.log(max(1e-9, 1 - (percent / 100) ** depth))
 
 
-def tree_nodes(reps: DataFrame, trees: int, depth: int, small: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node, id) of small nodes of two or more members, and of dense nodes; (id, w): what depths below ``TOP`` add to a
-    document's log chance to miss a partner. ``reps`` has (id, sig)."""
-    exploded = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("sig", t * depth + 1, depth))).alias("tree", "path"))
-    level = exploded
-    spark = reps.sparkSession
-    nothing = spark.createDataFrame([], "node long, id long")
-    small_parts, dense, excess = [], nothing, [spark.createDataFrame([], "id long, w double")]
-    for d in range(min(TOP, depth), depth + 1):
+def tree_levels(reps: DataFrame, trees: int, depth: int, small: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(id, tree, d, node) of small nodes of two or more members; the same of large nodes, and their pivots (node, pid); None if there is none."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("sig", t * depth + 1, depth))
+    level = reps.select("id", F.posexplode(cut).alias("tree", "path"))
+    tiny, large, pivots = [], [], []
+    for d in [*(x for x in LEVELS if x < depth), depth]:
         keyed = level.withColumn("node", F.xxhash64("tree", F.slice("path", 1, d)))
-        sizes = keyed.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")
-        )
-        sizes = materialize(sizes.where("n > 1"), "nodes")
-        one = sizes.where(F.col("n") <= small).groupBy("n", "x1", "x2").agg(F.min("node").alias("node"))
-        small_parts.append(keyed.join(one.select("node"), "node").select("node", "id"))
-        large = sizes.where(F.col("n") > small)
-        if large.isEmpty():
-            break
-        if d == depth:
-            one = large.groupBy("n", "x1", "x2").agg(F.min("node").alias("node"))
-            dense = keyed.join(one.select("node"), "node").select("node", "id")
+        draws = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id")).alias(f"p{k}") for k in range(PIVOTS)]
+        sizes = materialize(keyed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *draws).where("n > 1"), "nodes")
+        tiny.append(keyed.join(sizes.where(F.col("n") <= small).select("node"), "node").select("id", "tree", F.lit(d).alias("d"), "node"))
+        big = sizes.where(F.col("n") > small)
+        if big.isEmpty():
             break
-        level = keyed.join(large.select("node"), "node").select("id", "tree", "path")
-        level = materialize(level, "large-nodes")
-        excess.append(level.select("id", F.lit(_log_miss(percent, d + 1) - _log_miss(percent, d)).alias("w")))
-    return functools.reduce(DataFrame.union, small_parts), dense, functools.reduce(DataFrame.union, excess)
-
-
-def mixed_nodes(nodes: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """The rows (id, node, tiny) of nodes whose members are in more than one component so far."""
-    at = nodes.join(reps.select("id", "doc_id"), "id").join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    ends = at.groupBy("node").agg(F.min(F.coalesce("component", "doc_id")).alias("a"), F.max(F.coalesce("component", "doc_id")).alias("b"))
-    return nodes.join(ends.where("a <> b").select("node"), "node").select("id", "node", "tiny")
+        level = materialize(keyed.join(big.select("node"), "node").select("id", "tree", "path", "node"), "large-nodes")
+        large.append(level.select("id", "tree", F.lit(d).alias("d"), "node"))
+        pivots.append(big.select("node", F.explode(F.array(*(f"p{k}.id" for k in range(PIVOTS)))).alias("pid")).distinct())
+        level = level.drop("node")
+    union = functools.partial(functools.reduce, DataFrame.union)
+    return union(tiny), union(large) if large else None, union(pivots) if pivots else None
 
 
 def round_components(keyed: DataFrame, reps: DataFrame, known: DataFrame, comps: DataFrame | None, trees: int, depth: int, small: int, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Components (id, component) of the links ``known`` (a, b) and those of ``trees`` trees over ``reps``, and (id, w) as by ``tree_nodes``."""
+    """Components (id, component) of the links ``known`` (a, b) and those of ``trees`` trees over ``reps``; (id, w): what depths
+    below ``TOP`` add to a document's log chance to miss a partner."""
     spark = keyed.sparkSession
-    small_nodes, dense_nodes, excess = tree_nodes(reps, trees, depth, small, percent)
-    small_nodes, dense_nodes = materialize(small_nodes, "small-nodes"), materialize(dense_nodes, "dense-nodes")
+    tiny, large, pivots = tree_levels(reps, trees, depth, small)
+    excess = spark.createDataFrame([], "id long, w double")
+    closing = tiny.select("id", "tree", "d", "node")
+    outside = None
+    if large is not None:
+        groups = materialize(pivot_groups(large, materialize(pivots, "pivots"), reps, percent), "pivot-groups")
+        comps = materialize(connected_components(materialize(verified(groups, keyed, n, percent), "pivot-links").union(known)), "components")
+        known = _as_links(comps)
+        free_shuffles(spark)
+        at, major = node_parts(large, reps, comps)
+        deepest = large.agg(F.max("d")).first()[0]
+        shut = major.where(F.col("outside") <= small).select("node")
+        if deepest >= depth:
+            shut = shut.union(large.where(F.col("d") >= depth).select("node")).distinct()
+        ends = closing.withColumn("big", F.lit(False)).union(large.join(shut, "node").select("id", "tree", "d", "node", F.lit(True)))
+        ends = ends.groupBy("id", "tree").agg(F.min(F.struct("d", "node", "big")).alias("e"))
+        closing = materialize(ends.select("id", "tree", "e.*"), "closing-nodes")
+        free_shuffles(spark)
+        last = large.groupBy("id", "tree").agg(F.max("d").alias("m")).join(closing, ["id", "tree"], "left")
+        steps = F.create_map(*(F.lit(x) for d in range(depth + 2) for x in (d, _log_miss(percent, d) - _log_miss(percent, min(TOP, depth)))))
+        # alone behind its last large node: together with a partner up to the next depth looked at
+        after = F.create_map(*(F.lit(x) for a, b in zip((*LEVELS, depth), (*LEVELS[1:], depth, depth), strict=False) for x in (a, min(b, depth))))
+        at_depth = F.coalesce(F.col("d"), F.least(after[F.col("m")], F.lit(depth)))
+        excess = last.groupBy("id").agg((trees * steps[F.max(at_depth)]).alias("w"))
+        used = closing.where("big").select("node").distinct()
+        outside = outsider_tasks(at, materialize(major.join(used, "node"), "closed-nodes"), small)
+        closing = closing.where("NOT big")
+    tasks = closing.select(F.col("node").alias("task"), "id", F.lit(True).alias("lead"))
+    if outside is not None:
+        tasks = tasks.union(outside)
+    groups = materialize(possible(tasks, reps, comps, percent).distinct(), "groups")
     free_shuffles(spark)
-    wanted = small_nodes.select("id", "node", F.lit(True).alias("tiny")).union(dense_nodes.select("id", "node", F.lit(False).alias("tiny")))
-    if comps is not None:
-        wanted = mixed_nodes(wanted, reps, comps)
-    wanted = wanted.groupBy("id").agg(F.collect_list(F.struct("node", "tiny")).alias("nodes"))
-    texts = keyed.select(F.xxhash64("doc_id", "tk").alias("id"), F.col("doc_id").alias("own"), "text").where("own IS NOT NULL").join(wanted, "id")
-    members = texts.dropDuplicates(["id"]).select(F.col("own").alias("id"), "text", F.explode("nodes").alias("at")).select("at.node", "at.tiny", "id", "text")
-    members = materialize(members, "members")
+    comps = materialize(connected_components(verified(groups, keyed, n, percent).union(known)), "components")
     free_shuffles(spark)
-    large = members.where("NOT tiny").select("node", "id", "text")
-    links = small_node_links(members.where("tiny"), n, percent).union(known)
-    dense = not large.isEmpty()
-    if dense:
-        links = links.union(pivot_links(large, n, percent))
-    comps = materialize(connected_components(links), "components")
-    rest = rest_links(large, comps, n, percent) if dense else None
-    if rest is not None:
-        comps = materialize(connected_components(rest.union(_as_links(comps))), "components")
-    discard(members)
     return comps, excess
 
 
@@ -314,7 +427,7 @@ def _as_links(comps: DataFrame) -> DataFrame:
     return comps.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int = TREES, depth: int = DEPTH, small: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int = TREES, depth: int = DEPTH, small: int = 4096) -> DataFrame:
     """(doc_id, tk, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text); ``trees`` is the least number of trees."""
     spark = docs.sparkSession
     top = _log_miss(percent, min(TOP, depth))
@@ -328,7 +441,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int =
     own = classes.select(F.col("rep").alias("doc_id"), F.col("rep_tk").alias("tk"), "n_shingles", "s1", "s2")
     reps = sets.join(own, ["doc_id", "tk", "n_shingles", "s1", "s2"]).dropDuplicates(["doc_id", "tk"])
     # a class is named by 64 bits over its representative, so a doc_id with several texts has several
-    named = [F.xxhash64("doc_id", "tk").alias("id"), "doc_id", "tk", "sig"]
+    named = [F.xxhash64("doc_id", "tk").alias("id"), "doc_id", "tk", "n_shingles", "sig", "low"]
     reps = materialize(reps.select(*named), "reps")
     copies = sets.join(classes, ["n_shingles", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comps, excess = round_components(keyed, reps, copies, None, trees, depth, small, n, percent)
@@ -340,7 +453,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, trees: int =
         most = lost.agg(F.max("lost")).first()[0]
         if most is None:
             break
-        trees, seed = min(2 * trees, math.ceil((most - math.log(MISS)) / -_log_miss(percent, depth))), seed + 1
+        trees, seed = min(4 * trees, math.ceil((most - math.log(MISS)) / -_log_miss(percent, depth))), seed + 1
         more = keyed.join(lost.select("doc_id", "tk"), ["doc_id", "tk"]).dropDuplicates(["doc_id", "tk"]).select("doc_id", "tk", "text")
         reps = materialize(features(more, n, trees, depth, seed).select(*named), "reps")
         comps, excess = round_components(keyed, reps, _as_links(comps), comps, trees, depth, small, n, percent)
