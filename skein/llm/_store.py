@@ -72,14 +72,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows, and bytes, of a batch that goes to a Python worker.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def tuned(query):
-    """``query`` with Arrow batches of documents small enough for two tasks beside a small executor heap."""
+    """``query`` with Arrow batches small enough for two tasks beside a small executor heap."""
 
     @functools.wraps(query)
     def run(spark: SparkSession, *args):
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if int(spark.conf.get(key)) > 1000:
-            spark.conf.set(key, "1000")
+        for key, most in BATCH.items():
+            now = spark.conf.get(key)
+            if not now.isdigit() or int(now) > most:
+                spark.conf.set(key, str(most))
         return query(spark, *args)
 
     return run

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,6 +24,47 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_against_plain_sets(docs, rows, monkeypatch):
+    """The bit-sliced filters beside a set of n-grams per language; parts of 2,000 characters make long texts whole again."""
+    monkeypatch.setattr(langid, "PART", 2000)
+    share = 2e-5
+    fold = lambda t: re.sub(r"[\W\d_]+", " ", t or "").lower().strip(" ")
+
+    def grams(t):
+        for w in fold(t).split(" "):
+            for n in langid.NS:
+                x = f" {w} " if w else ""
+                yield from (x[i : i + n] for i in range(len(x) - n + 1))
+
+    counts = defaultdict(Counter)
+    for r in [*rows, (None, rows[3][1], "en")]:
+        if r[2] and r[1] is not None:
+            counts[r[2]].update(grams(r[1]))
+    members = {lang: {g for g, n in c.items() if n >= share * sum(c.values())} for lang, c in counts.items()}
+    order = sorted(counts, key=lambda x: (-sum(counts[x].values()), x))
+    filters = langid.fit(docs, train_docs=1 << 20)
+    assert filters.langs == order
+    compared = 0
+    for r in langid.predict(docs.where("doc_id IS NOT NULL"), filters).collect():
+        found = Counter(grams(r.text))
+        total = sum(found.values())
+        if not total:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        true = [sum(n for g, n in found.items() if g in members[lang]) / total for lang in order]
+        assert r.score == pytest.approx(max(true), abs=0.02)
+        if sorted(true)[-1] - sorted(true)[-2] > 0.02:
+            compared += 1
+            assert r.lang_pred == order[true.index(max(true))]
+    assert compared
+
+
+def test_marks_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "abc abc", "en"), (2, "\u0301", None), (3, "e\u0301", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, langid.fit(df)).collect()}
+    assert got == {1: "en", 2: "und", 3: "en"}
+
+
 def test_language_cases(docs, empty):
     filters = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predict(docs, filters).collect()}
@@ -99,7 +141,10 @@ def test_chats(spark):
         rows += [(c, i, r, t, "x") for i, (r, t) in enumerate(logs[c])]
     rows += [(None, 0, "user", "hi", "x"), (90, None, "user", "z", "x"), (90, 0, "user", "y", "x")]
     logs[90] = [("user", "z"), ("user", "y")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n string")
+    # null turns come before turns below every chunk's first
+    rows += [(91, None, "user", "first", "x"), (92, None, "user", "first", "x"), (92, -5000, "user", "then", "x"), (92, 9000, "user", "last", "x")]
+    logs[91], logs[92] = [("user", "first")], [("user", "first"), ("user", "then"), ("user", "last")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string")
     kept = chat_collapse.maximal(df)
     got = {(r.conv_id, r.n_turns, r.rendered) for r in chat_collapse.render(df, kept).collect()}
     want = set()
@@ -136,12 +181,69 @@ def test_mixing(docs, empty, rows):
     assert len(got) == len(everything) and all(abs(taken[s] - targets[s]) <= 4 for s in names)
     assert sorted(map(repr, mixing.mix(docs).collect())) == sorted(map(repr, got))
     assert mixing.mix(empty).count() == 0
-    once = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    mixed = mixing.mix(once)
-    emitted = Counter()
-    for r in mixing.emit(once, mixed).collect():
-        emitted[r.doc_id] += len(words(r.text))
-    assert {k: v for k, v in emitted.items() if v} == {r.doc_id: r.taken for r in mixed.collect() if r.taken}
+    clash = ("size", "full", "cuts", "row", "piece", "d", "k", "_id", "copy", "copies")
+    named = docs.select("*", *(F.lit(c).alias(c) for c in clash))
+    emitted = mixing.emit(named, mixing.mix(named))
+    assert emitted.columns == named.columns
+    given, wanted = Counter(), Counter()
+    for r in emitted.collect():
+        given[r.doc_id, r.source] += len(words(r.text))
+    for r in got:
+        wanted[r.doc_id, r.source] += r.taken
+    assert +given == +wanted
+
+
+def brute_mix(rows, weights, share, cap):
+    """Targets and quotas by raising all shares together, word by word sources in the order of highest quotients."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target = dict.fromkeys(names, 0.0)
+    stopped = {s for s in names if not sizes[s]}
+    for _ in names:
+        rest = share * sum(sizes.values()) - sum(target[s] for s in stopped)
+        weight = {s: weights[names.index(s) % len(weights)] for s in names if s not in stopped}
+        for s in weight:
+            target[s] = rest * weight[s] / sum(weight.values())
+        new = {s for s in weight if target[s] > cap * sizes[s]}
+        for s in new:
+            target[s] = float(cap * sizes[s])
+        if not new:
+            break
+        stopped |= new
+    got = dict.fromkeys(names, 0)
+    for _ in range(round(sum(target.values()))):
+        s = max((s for s in names if target[s] and got[s] < cap * sizes[s]), key=lambda s: (target[s] / (2 * got[s] + 1), -names.index(s)))
+        got[s] += 1
+    return sizes, target, got
+
+
+@pytest.mark.parametrize("shard", [250_000, 40])
+def test_mixing_repeated_rows(spark, monkeypatch, shard):
+    """Equal rows by the dozen; quotas against a word-by-word count, with many shards and a tree of them, and parts of a hot row."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard)
+    monkeypatch.setattr(mixing, "FAN", 4)
+    monkeypatch.setattr(mixing, "COPIES", 16)
+    rows = [(1, "a b c d e f g", "x")] * 60 + [(2, "a b c", "x")] * 40 + [(3, "q r s t", "y"), (4, None, "y"), (None, "a b", None), (None, "a b", None)]
+    rows += [(10 + i, "w " * (i % 17), "y") for i in range(80)] + [(200, "one", "z"), (201, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes, target, quota = brute_mix(rows, (3, 1, 2), 1.5, 2)
+    mixed = mixing.mix(df)
+    got = mixed.collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((d, s, len((t or "").split())) for d, t, s in rows)
+    taken = Counter()
+    for r in got:
+        assert (r.source_size, r.target) == (sizes[r.source], pytest.approx(target[r.source])) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert +taken == Counter({s: n for s, n in quota.items() if n})
+    given = Counter()
+    for r in mixing.emit(df, mixed).collect():
+        given[r.doc_id, r.source] += len(words(r.text))
+    wanted = Counter()
+    for r in got:
+        wanted[r.doc_id, r.source] += r.taken
+    assert +given == +wanted
 
 
 def brute_overlap(a, b):
@@ -205,30 +307,24 @@ def test_vectors(spark):
     assert got == want and embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_scores(docs, empty, rows):
-    model, counts = lm_score.train(docs.where(~lm_score.held_out()))
-    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score(docs, model, counts).collect())
+@pytest.mark.parametrize("piece", [3 << 20, 600])
+def test_scores(docs, empty, rows, monkeypatch, piece):
+    """Against plain counts of everything; with small pieces every document is in another one."""
+    monkeypatch.setattr(lm_score, "PIECE_BYTES", piece)
+    taught = ~lm_score.held_out()
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm_score.score(docs, taught).collect())
     everything = [*[(r[0], r[1]) for r in rows], (None, rows[3][1])]
     texts = [(d, [*words(t, True), "END"]) for d, t in everything]
     training = [w for d, w in texts if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
     c = Counter(x for w in training for x in w)
     n, v = sum(c.values()), len(c)
     uni = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    use = {w for w in c if c[w] >= 2} | {"<s>", "END"}
-    pairs = {k: m for k, m in Counter((a, b) for w in training for a, b in zip(["<s>", *w], w, strict=False) if a in use and b in use).items() if m >= 2}
-    triples = {k: m for k, m in Counter((a, b, x) for w in training for a, b, x in zip(["<s>", *w], w, w[1:], strict=False) if (a, b) in pairs and (b, x) in pairs).items() if m >= 2}
+    pairs = Counter((a, b) for w in training for a, b in zip(["<s>", *w], w, strict=False))
+    triples = Counter((a, b, x) for w in training for a, b, x in zip(["<s>", *w], w, w[1:], strict=False))
     after = {**c, "<s>": len(training)}
-    p2 = {k: (m - 0.75) / after[k[0]] for k, m in pairs.items()}
-    p3 = {k: (m - 0.75) / pairs[k[:2]] for k, m in triples.items()}
-    own2, own3 = defaultdict(list), defaultdict(list)
-    for a, b in p2:
-        own2[a].append(b)
-    for a, b, x in p3:
-        own3[a, b].append(x)
-    bow2 = {a: (1 - sum(p2[a, b] for b in bs)) / (1 - sum(uni(b) for b in bs)) for a, bs in own2.items()}
-    two = lambda a, w: p2[a, w] if (a, w) in p2 else bow2.get(a, 1) * uni(w)
-    bow3 = {h: (1 - sum(p3[(*h, x)] for x in xs)) / (1 - sum(two(h[1], x) for x in xs)) for h, xs in own3.items()}
-    three = lambda a, b, w: p3[a, b, w] if (a, b, w) in p3 else bow3.get((a, b), 1) * two(b, w)
+    k1, k2 = lm_score.K1, lm_score.K2
+    two = lambda a, w: (pairs[a, w] + k1 * uni(w)) / (after.get(a, 0) + k1)
+    three = lambda a, b, w: (triples[a, b, w] + k2 * two(b, w)) / (pairs[a, b] + k2)
     want = Counter()
     for d, w in texts:
         x = ["<s>", *w]
@@ -237,17 +333,27 @@ def test_scores(docs, empty, rows):
     assert {k[:4] for k in got} == {k[:4] for k in want}
     for a, b in zip(sorted(got.elements(), key=repr), sorted(want.elements(), key=repr), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-6)
-    for w in ("<s>", *list(own2)[:20]):  # every state is a distribution over known words and one unknown
-        if w != "END":
-            assert sum(two(w, t) for t in c) + bow2.get(w, 1) * 0.5 / (n + 0.5 * (v + 1)) == pytest.approx(1)
-    none, nothing = lm_score.train(empty)
-    assert {(r.base_score, r.score, r.n_known) for r in lm_score.score(docs, none, nothing).collect()} == {(0.0, 0.0, 0)}
-    assert lm_score.score(empty, model, counts).count() == 0
+    unknown = 0.5 / (n + 0.5 * (v + 1))
+    for a, b in list(pairs)[:20]:  # every state is a distribution over known words and one unknown
+        if b != "END":
+            assert sum(two(b, t) for t in c) + k1 * unknown / (after[b] + k1) == pytest.approx(1)
+            assert sum(three(a, b, t) for t in c) + k2 * k1 * unknown / (after[b] + k1) / (pairs[a, b] + k2) == pytest.approx(1)
+    assert {(r.base_score, r.score, r.n_known) for r in lm_score.score(docs, F.lit(False)).collect()} == {(0.0, 0.0, 0)}
+    assert lm_score.score(empty, taught).count() == 0
+
+
+def test_keys_of_many_buckets():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2)
+    for bits in (0, 7, 16, 24):
+        split = lm_score._split(keys, bits)
+        bucket = split >> np.uint64(min(lm_score.KEY_BITS, 64 - bits))
+        assert int(bucket.max()) < max(1, 1 << bits) and len(np.unique(split)) == 1000
+        assert len({(int(b), int(k) & ((1 << 48) - 1)) for b, k in zip(bucket, split, strict=True)}) == 1000
 
 
 def test_pipeline_stages(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    frame = docs.drop("tk").withColumn("n_chars", F.length("text").cast("long"))
+    frame = docs.select("*", F.length("text").cast("long").alias("n_chars"), *(F.lit(1).alias(c) for c in ("_key", "row", "d", "k", "component_id", "lang_score", "size")))
     bench = spark.createDataFrame([(0, docs.where("doc_id = 5").first().text)], "item_id long, text string")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     seen = frame
