@@ -7,12 +7,17 @@ table as the cut. Paths are never enumerated.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.storage import cut
 
-UNLIMITED = 10_000
+#: Walks end where nothing new is reached.
+UNLIMITED = sys.maxsize - 1
+#: Hops after which what was seen is one table again.
+COMPACT = 8
 
 
 def fan_out(edges: DataFrame, entity_id: str) -> DataFrame:
@@ -51,6 +56,8 @@ def _walk(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool) ->
         if new.isEmpty():
             break
         seen = seen.union(new)
+        if d % COMPACT == 0:
+            seen = cut(seen, "walk")
         frontier = new.select("start_id", F.col("entity_id").alias("at"))
     return seen.where("depth > 0")
 
@@ -77,19 +84,23 @@ def shortest_path(entities: DataFrame, edges: DataFrame, start: str, target: str
     steps = cut(_steps(edges, True), "steps")
     frontier = spark.createDataFrame([(start,)], "at string")
     seen = cut(frontier.select(F.col("at").alias("entity_id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(None).cast("struct<src:string,dst:string,kind:string>").alias("via")), "walk")
+    hops = []
     for d in range(1, UNLIMITED):
         reached = frontier.join(steps, "at").groupBy(F.col("to").alias("entity_id")).agg(F.min(F.struct("at", "via")).alias("by"))
         new = reached.join(seen.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.col("by.at").alias("parent"), F.lit(d).alias("depth"), F.col("by.via").alias("via"))
         new = cut(new, "hop")
         if new.isEmpty():
             return none
-        seen = seen.union(new)
+        hops.append(new)
         if not new.where(F.col("entity_id") == target).isEmpty():
             break
+        seen = seen.select("entity_id").union(new.select("entity_id"))
+        if d % COMPACT == 0:
+            seen = cut(seen, "walk")
         frontier = new.select(F.col("entity_id").alias("at"))
     path, at = [], target
-    while at != start:  # one lookup per hop of the path found
-        row = seen.where(F.col("entity_id") == at).first()
+    for hop in reversed(hops):  # one lookup, in one hop's table, per step of the path found
+        row = hop.where(F.col("entity_id") == at).first()
         path.append((row.depth, row.entity_id, row.via))
         at = row.parent
     return spark.createDataFrame(path[::-1], none.schema)

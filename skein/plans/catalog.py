@@ -31,8 +31,6 @@ def query(oracle: str | None = None):
 
 WITH = f"WITH RECURSIVE entities AS ({tables.ENTITIES_SQL}), edges AS ({tables.edges_sql()})"
 #: Without order lines, for undirected walks.
-THIN = ("nation", "customer", "supplier", "orders")
-WITH_THIN = f"WITH RECURSIVE entities AS ({tables.ENTITIES_SQL}), edges AS ({tables.edges_sql(*THIN)})"
 
 
 # --- lookup
@@ -109,13 +107,13 @@ def stats_by_kind(spark, sf_dir):
     return aggregate.stats_by_kind(tables.entities(spark, sf_dir))
 
 
-@query(f"""{WITH_THIN}, step AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+@query(f"""{WITH}, step AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 walk AS (SELECT entity_id AS start_id, entity_id, 0 AS depth FROM entities WHERE kind = 'nation'
          UNION SELECT start_id, b, depth + 1 FROM walk JOIN step ON walk.entity_id = a WHERE depth < 2)
 SELECT start_id, entity_id, min(depth) AS depth FROM walk GROUP BY 1, 2 HAVING min(depth) > 0""")
 def related_depth2(spark, sf_dir):
     e = tables.entities(spark, sf_dir)
-    return graph.related(e, tables.edges(spark, sf_dir, *THIN), e.where("kind = 'nation'"), 2).select("start_id", "entity_id", "depth")
+    return graph.related(e, tables.edges(spark, sf_dir), e.where("kind = 'nation'"), 2).select("start_id", "entity_id", "depth")
 
 
 @query(f"""{WITH}, walk AS (SELECT entity_id AS start_id, entity_id, 0 AS depth FROM entities WHERE kind = 'region'
@@ -369,7 +367,7 @@ def _bodies(spark, sf_dir):
 
 @query()
 def similar_documents(spark, sf_dir):
-    """Near-duplicate pairs of documents by normalised token shingles; FNV-1a MinHash is not in DuckDB, see tests/test_similar.py."""
+    """Near-duplicate pairs of documents by normalised token shingles; FNV-1a MinHash is not in DuckDB, see tests/test_operators.py."""
     none = spark.createDataFrame([], "src string, dst string, kind string"), spark.createDataFrame([], "entity_id string, name string")
     return similar.find_pairs(_bodies(spark, sf_dir), *none)
 
