@@ -189,7 +189,7 @@ class Service:
 
     def similar(self, name: str, file_part: str = "") -> DataFrame:
         e = search.find_unique(self.entities(), name, file_part)
-        return similar.involving(self._pairs(0.0), e.entity_id)
+        return similar.undecided(similar.involving(cut(self._pairs(0.0), "pairs"), e.entity_id), self.decisions.table(self.spark)).orderBy(F.desc("overall"), "pair_key")
 
     def decide(self, a: str, b: str, decision: str) -> None:
         self.decisions.decide(a, b, decision)

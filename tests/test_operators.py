@@ -170,3 +170,24 @@ def test_stream(spark, tmp_path):
     q = run_incremental(change_stream(spark, str(tmp_path / "in"), "*.py"), lambda df, i: seen.extend(r.path for r in df.select("path").collect()), str(tmp_path / "cp"))
     q.awaitTermination()
     assert len(seen) == 1
+
+
+def test_pairs_of_a_copy(spark):
+    """A copy has its representative's near pairs, with all copies of the partner, and its whole class."""
+    rows = [("r", "c1", True, 1.0), ("r", "c2", True, 1.0), ("p", "p1", True, 1.0), ("p", "r", False, 0.7), ("x", "y", False, 0.9)]
+    pairs = spark.createDataFrame([(a, b, e, s, s, s) for a, b, e, s in rows], "a string, b string, exact boolean, structural double, behavioral double, overall double")
+    got = lambda e: [(r.a, r.b, r.overall) for r in similar.involving(pairs, e).collect()]
+    assert sorted(got("c1")) == [("c1", "c2", 1.0), ("c1", "p", 0.7), ("c1", "p1", 0.7), ("c1", "r", 1.0)]
+    assert sorted(got("r")) == [("c1", "r", 1.0), ("c2", "r", 1.0), ("p", "r", 0.7), ("p1", "r", 0.7)]
+    assert sorted(got("p1")) == [("c1", "p1", 0.7), ("c2", "p1", 0.7), ("p", "p1", 1.0), ("p1", "r", 0.7)] and got("y") == [("x", "y", 0.9)]
+
+
+def test_long_chains(spark):
+    """Closures and paths go on beyond the hops after which what was seen is written anew."""
+    n = 20
+    entities = spark.createDataFrame([(f"e{i}",) for i in range(n)], "entity_id string")
+    edges = spark.createDataFrame([(f"e{i}", f"e{i + 1}", "CALLS") for i in range(n - 1)], "src string, dst string, kind string")
+    found = {r.entity_id: r.depth for r in graph.upstream(entities, edges, entities.where("entity_id = 'e19'")).collect()}
+    assert found == {f"e{i}": n - 1 - i for i in range(n - 1)}
+    path = graph.shortest_path(entities, edges, "e0", "e19").orderBy("depth").collect()
+    assert [(r.depth, r.entity_id, r.via.src) for r in path] == [(i, f"e{i}", f"e{i - 1}") for i in range(1, n)]
