@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame
 
 
-def rows_text(df: DataFrame, *columns: str, most: int = 1000) -> str:
-    """One line a row, fields by two spaces; lists for people, hence bounded."""
-    return "\n".join("  ".join("" if r[c] is None else str(r[c]) for c in columns) for r in df.select(*columns).limit(most).collect())
+def rows_text(df: DataFrame, *columns: str) -> str:
+    """One line a row, fields by two spaces; rows come a partition at a time."""
+    return "\n".join("  ".join("" if r[c] is None else str(r[c]) for c in columns) for r in df.select(*columns).toLocalIterator())
 
 
 def entities_text(df: DataFrame) -> str:
