@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,25 +10,13 @@ from skein.functions import text as T
 from skein.operators import aggregate, graph, search, similar
 from skein.operators import compile as compiler
 from skein.plans import tables
+from skein.plans.registered import ORACLES, QUERIES, query  # noqa: F401
 from skein.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "similar_documents"
 
 
-def query(oracle: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
 WITH = f"WITH RECURSIVE entities AS ({tables.ENTITIES_SQL}), edges AS ({tables.edges_sql()})"
-#: Without order lines, for undirected walks.
 
 
 # --- lookup
@@ -365,17 +351,52 @@ def _bodies(spark, sf_dir):
     )
 
 
-@query()
+_QUOTES = """'"', '''', '`'"""
+_TOKEN_SQL = "(?s)" + similar.TOKEN.replace("'", "''")
+_COMMENT_SQL = r"//[^\n]*|(?s:/\*.*?(?:\*/|\z))"
+_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, {}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+_LE_BYTES = "[" + ", ".join(f"({{0}} // {256**k}::HUGEINT) % 256" for k in range(8)) + "]"
+_SEED_FACTOR = pow(0x100000001B3, 8, 1 << 64)
+#: A seed's first byte alone is not zero, so its eight steps are one product; that byte meets the hash's last byte only, so the product is a sum of two.
+PRINTS = f"""WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, text, {_HASH} AS h FROM documents),
+r AS (SELECT h, min(id) AS rep FROM c GROUP BY h),
+raw AS (SELECT id, regexp_extract_all(regexp_replace(text, '{_COMMENT_SQL}', '', 'g'), '{_TOKEN_SQL}') AS toks FROM c WHERE id IN (SELECT rep FROM r)),
+pos AS (SELECT id, unnest(toks) AS t, generate_subscripts(toks, 1) AS i FROM raw WHERE len(toks) >= {similar.LEAST_TOKENS}),
+coded AS (SELECT id, i, CASE WHEN regexp_matches(t, '^\\p{{Nd}}') THEN 'NUM' WHEN left(t, 1) IN ({_QUOTES}) THEN 'STR' ELSE t END AS t FROM pos),
+firsts AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY min(i)) AS k FROM coded
+  WHERE regexp_matches(t, '^[\\p{{L}}_]') AND t NOT IN ('NUM', 'STR', {", ".join(f"'{k}'" for k in sorted(similar.KEYWORDS))}) GROUP BY id, t),
+norm AS (SELECT id, i, coalesce('ID' || CAST(k AS VARCHAR), t) || chr(0) AS t FROM coded LEFT JOIN firsts USING (id, t)),
+win AS (SELECT id, t || lead(t, 1) OVER w || lead(t, 2) OVER w || lead(t, 3) OVER w || lead(t, 4) OVER w AS s FROM norm WINDOW w AS (PARTITION BY id ORDER BY i)),
+shingles AS (SELECT DISTINCT id, s FROM win WHERE s IS NOT NULL),
+hashed AS MATERIALIZED (SELECT s, {_FNV.format("list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: CAST('0x' || x AS HUGEINT))")} AS h FROM (SELECT DISTINCT s FROM shingles)),
+started AS (SELECT s, {_FNV.format(_LE_BYTES.format("h"))}::UHUGEINT AS g FROM hashed),
+split AS MATERIALIZED (SELECT s, CAST(g % 256 AS INTEGER) AS low, CAST((g - g % 256) * {_SEED_FACTOR}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS high FROM started),
+lows AS MATERIALIZED (SELECT low, seed, CAST(xor(low, seed)::UHUGEINT * {_SEED_FACTOR}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS part
+  FROM (SELECT CAST(range AS INTEGER) AS low FROM range(256)), (SELECT CAST(range AS INTEGER) AS seed FROM range({similar.HASHES}))),
+sigs AS MATERIALIZED (SELECT id, seed, CAST(min(CASE WHEN high > 18446744073709551615::UBIGINT - part THEN high - (18446744073709551615::UBIGINT - part) - 1 ELSE high + part END) AS HUGEINT) AS m
+  FROM shingles JOIN split USING (s) JOIN lows USING (low) GROUP BY id, seed),
+bands AS MATERIALIZED (SELECT id, {_FNV.format("flatten(list(" + _LE_BYTES.format("m") + " ORDER BY seed))")} AS key FROM sigs GROUP BY id, seed // {similar.HASHES // similar.BANDS})"""
+
+
+@query(f"""{PRINTS}, near AS (SELECT a.id AS a, b.id AS b, count(*) FILTER (WHERE a.m = b.m) / {similar.HASHES}.0::DOUBLE AS structural
+  FROM (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.key = y.key AND x.id < y.id) p JOIN sigs a ON a.id = p.a JOIN sigs b ON b.id = p.b AND a.seed = b.seed GROUP BY 1, 2)
+SELECT rep AS a, id AS b, true AS exact, 1.0::DOUBLE AS structural, 1.0::DOUBLE AS behavioral, 1.0::DOUBLE AS overall FROM c JOIN r USING (h) WHERE id <> rep
+UNION ALL SELECT a, b, false, structural, 0.0, structural FROM near WHERE structural >= {similar.LEAST_OVERALL}""")
 def similar_documents(spark, sf_dir):
-    """Near-duplicate pairs of documents by normalised token shingles; FNV-1a MinHash is not in DuckDB, see tests/test_operators.py."""
+    """Near-duplicate pairs of documents by normalised token shingles."""
     none = spark.createDataFrame([], "src string, dst string, kind string"), spark.createDataFrame([], "entity_id string, name string")
     return similar.find_pairs(_bodies(spark, sf_dir), *none)
 
 
-@query()
+@query(f"""{PRINTS} SELECT id AS entity_id, signature, buckets FROM
+  (SELECT id, sha256(string_agg(CAST(CASE WHEN m >= 9223372036854775808::HUGEINT THEN m - 18446744073709551616::HUGEINT ELSE m END AS VARCHAR), ',' ORDER BY seed)) AS signature FROM sigs GROUP BY id)
+  JOIN (SELECT id, count(DISTINCT key) AS buckets FROM bands GROUP BY id) USING (id)""")
 def token_fingerprints(spark, sf_dir):
-    prints = similar.fingerprints(_bodies(spark, sf_dir))
-    return prints.select("entity_id", F.size("sig").alias("hashes"), F.size(F.array_distinct("bands")).alias("buckets"))
+    """Of each class's representative: a digest of its 64 minima, and how many buckets it is in."""
+    bodies = _bodies(spark, sf_dir)
+    prints = similar.fingerprints(bodies.join(similar.classes(bodies).select(F.col("rep").alias("entity_id")), "entity_id", "left_semi"))
+    signature = F.sha2(F.encode(F.array_join(F.transform("sig", lambda x: x.cast("string")), ","), "UTF-8"), 256)
+    return prints.select("entity_id", signature.alias("signature"), F.size(F.array_distinct("bands")).cast("long").alias("buckets"))
 
 
 @query(f"""
@@ -458,3 +479,6 @@ def resolve_cascade(spark, sf_dir):
     from skein.operators import resolve
 
     return resolve.resolve(_synthetic_sources(spark, sf_dir)).select("ref_id", "disposition", "dst")
+
+
+from skein.plans import catalog_operators, catalog_resolution  # noqa: E402, F401  they enter their own queries
