@@ -13,6 +13,8 @@ from skein.operators import graph
 from skein.storage import cut
 
 SEEDS, DAMPING, FLOOR, DECAY, PRIMARY_SHARE, DEFAULT_BUDGET = 7, 0.4, 0.3, 0.6, 0.6, 2500
+#: Fixed value: how cl100k_base splits text before merging.
+CL100K_PATTERN = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s"""
 LEVELS = ("name", "signature", "skeleton", "body")
 
 
@@ -165,6 +167,11 @@ def tiktoken_counter(rank_file: str, pattern: str) -> Callable[[Column], Column]
     return count
 
 
+def counter(rank_file: str = "", pattern: str = CL100K_PATTERN) -> Callable[[Column], Column]:
+    """The counter that a rank file gives, or the estimate without one."""
+    return tiktoken_counter(rank_file, pattern) if rank_file else byte_quarters
+
+
 def knapsack(costs: list[int], values: list[float], capacity: int) -> list[int]:
     """Places of the chosen items, last first: most value within ``capacity``, an item only where it strictly gains; none if all costs are 0."""
     capacity = min(capacity, sum(costs))

@@ -1,12 +1,16 @@
 """From files to facts: one nested row per file, in parallel over files.
 
-An extractor is ``extract(repo, file, source)``. A file that fails, or whose
-brackets are too often unmatched, yields a row with ``parse_error`` and no
+An extractor is ``extract(repo, file, source)``. A file that fails, takes over
+five seconds, or has too large a share of errors (unmatched brackets; in Python
+statements that don't parse) yields a row with ``parse_error`` and no
 facts, and costs nobody else anything.
 """
 
 from __future__ import annotations
 
+import contextlib
+import signal
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,18 +22,42 @@ from skein.operators.extract import cs, go, py, ts
 from skein.schemas import FACTS
 
 EXTRACTORS = {"ts": ts.extract, "go": go.extract, "cs": cs.extract, "py": py.extract}
-MOST_ERRORS = 0.10
+MOST_ERRORS, MOST_SECONDS = 0.10, 5.0
 LISTS = ("entities", "refs", "imports", "reexports", "ext_methods", "field_types")
 
 
+class _TooSlow(Exception):
+    pass
+
+
+@contextlib.contextmanager
+def _at_most(seconds: float):
+    """Ends the block by an exception after ``seconds``; signals reach main threads only, which is where Spark's workers run."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise _TooSlow(f"over {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def facts_of(repo: str, file: str, lang: str, content: bytes) -> dict:
     row = {"file": file, "lang": lang, "parse_error": None, "error_ratio": 0.0, "content_hash": sha_hex(content), **{k: [] for k in LISTS}}
     try:
-        found = EXTRACTORS[lang](repo, file, content.decode(errors="replace"))
+        with _at_most(MOST_SECONDS):
+            found = EXTRACTORS[lang](repo, file, content.decode(errors="replace"))
         if not isinstance(found, dict):
             row["error_ratio"] = found.error_ratio
             if found.error_ratio > MOST_ERRORS:
-                return row | {"parse_error": f"{found.error_ratio:.0%} of the tokens are unmatched brackets"}
+                return row | {"parse_error": f"{found.error_ratio:.0%} of it can't be parsed"}
             found = found.facts()
         return row | found
     except Exception as e:  # noqa: BLE001  one bad file must not end the job

@@ -8,6 +8,10 @@ from skein.operators.extract.lexer import agreed
 from skein.functions.identity import py_content_hash, py_entity_id
 
 
+#: Share of bad bytes at which looking for a parse ends; files are rejected well below it.
+GIVE_UP = 0.25
+
+
 class _Walk(ast.NodeVisitor):
     def __init__(self, repo: str, file: str, source: str):
         self.repo, self.file = repo, file
@@ -133,7 +137,38 @@ def _attributes(cls: ast.ClassDef) -> dict[str, str]:
     return agreed(typed)
 
 
-def extract(repo: str, file: str, source: str) -> dict[str, list]:
+class Parsed:
+    """Facts of a file of which some lines may have been left out."""
+
+    def __init__(self, walk: _Walk, error_ratio: float):
+        self.walk, self.error_ratio = walk, error_ratio
+
+    def facts(self) -> dict[str, list]:
+        return self.walk.out
+
+
+def _tree(source: str) -> tuple[ast.Module, float]:
+    """The tree and the share of bytes left out: lines that don't parse become blanks of their length, so that places stay."""
+    raw = source.encode()
+    lines, lost = [f"{x}\n" for x in source.split("\n")], 0
+    while True:
+        try:
+            return ast.parse("".join(lines)), lost / max(1, len(raw))
+        except SyntaxError as e:
+            at = min(e.lineno or len(lines), len(lines)) - 1
+            while at >= 0 and not lines[at].strip():
+                at -= 1
+            if at < 0:
+                raise
+            bare = lines[at].rstrip("\r\n")
+            lost += len(bare.strip().encode())
+            if lost > GIVE_UP * len(raw):
+                raise
+            lines[at] = " " * len(bare.encode()) + lines[at][len(bare) :]
+
+
+def extract(repo: str, file: str, source: str) -> Parsed:
+    tree, errors = _tree(source)
     walk = _Walk(repo, file, source)
-    walk.visit(ast.parse(source))
-    return walk.out
+    walk.visit(tree)
+    return Parsed(walk, errors)

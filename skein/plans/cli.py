@@ -11,6 +11,7 @@ from collections.abc import Callable
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from skein.operators import compile as compiler
 from skein.plans import mcp, render
 from skein.plans.service import Service
 from skein.sources import projects, store
@@ -30,7 +31,11 @@ def parser() -> argparse.ArgumentParser:
     init.add_argument("--yes", action="store_true")
     context = v.add_parser("context")
     context.add_argument("prompt")
-    context.add_argument("--budget", type=int, default=2500)
+    benchmark = v.add_parser("benchmark")
+    benchmark.add_argument("tasks")
+    for x in (context, benchmark):
+        x.add_argument("--budget", type=int, default=compiler.DEFAULT_BUDGET)
+        x.add_argument("--ranks", default="", help="file of (base64, rank) lines that counts tokens; without it a token is four bytes")
     context.add_argument("--session", default="")
     context.add_argument("--file", default="")
     for name in ("find", "inspect", "related", "source", "similar"):
@@ -80,26 +85,28 @@ def run(args: argparse.Namespace, spark) -> str:
         case "stats":
             return render.stats_text(s.stats())
         case "context":
-            return render.capsule_text(s.context(args.prompt, args.budget, args.session, args.file))
+            return render.capsule_text(s.context(args.prompt, args.budget, args.session, args.file, compiler.counter(args.ranks)))
         case "find":
             return render.entities_text(s.find(args.name))
         case "inspect":
             got = s.inspect(args.name, args.file)
-            return f"{got['entity'].qualified}\nin:\n{render.rows_text(got['fan_in'], 'src', 'kind')}\nout:\n{render.rows_text(got['fan_out'], 'dst', 'kind')}"
+            return render.inspection_text(got["entity"], got["fan_in"], got["fan_out"])
         case "related":
-            return render.rows_text(s.related(args.name, args.depth, args.file).orderBy("depth", "entity_id"), "depth", "entity_id")
+            return render.related_text(s.related(args.name, args.depth, args.file), s.entities())
         case "source":
             return s.source(args.name, args.file)
         case "similar":
-            return render.rows_text(s.similar(args.name, args.file), "overall", "a", "b")
+            return render.pairs_text(s.similar(args.name, args.file))
         case "impact" if args.git_diff:
-            return render.rows_text(s.impact_of_diff(args.git_diff)["impacted"].orderBy("depth", "entity_id"), "depth", "entity_id", "is_test")
+            return render.diff_impact_text(s.impact_of_diff(args.git_diff), s.entities())
         case "impact":
-            return render.rows_text(s.impact(args.name).orderBy("depth", "entity_id"), "depth", "entity_id", "is_test")
+            return render.impact_text(s.impact(args.name), s.entities())
         case "path":
-            return render.rows_text(s.path(args.start, args.target).orderBy("depth"), "depth", "entity_id")
+            return render.path_text(args.start, s.path(args.start, args.target), s.entities())
         case "duplicates":
-            return render.rows_text(s.duplicates(args.min), "overall", "exact", "a", "b")
+            return render.pairs_text(s.duplicates(args.min))
+        case "benchmark":
+            return render.benchmark_text(*s.benchmark(args.tasks, args.budget, compiler.counter(args.ranks)))
         case "decide":
             s.decide(args.a, args.b, args.decision)
             return "saved"

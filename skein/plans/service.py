@@ -175,6 +175,28 @@ class Service:
         handles = after.select("entity_id", F.concat(F.lit("E"), F.col("handle_no").cast("string")).alias("handle"))
         return chosen.join(handles, "entity_id").orderBy("place")
 
+    def benchmark(self, task_file: str, budget: int = compiler.DEFAULT_BUDGET, count=compiler.byte_quarters) -> tuple[DataFrame, DataFrame]:
+        """A task set compiled as one batch: per task (task, recall, precision, tokens, baseline), and the summary row.
+
+        The baseline of a task is its gold files and the output of its search steps, read whole.
+        """
+        snap = self.snapshot()
+        e = snap.entities
+        tasks = cut(store.load_tasks(self.spark, task_file).withColumnRenamed("id", "task"), "tasks")
+        terms = cut(compiler.terms_of(tasks.select("task", "prompt")), "terms")
+        scored = compiler.scores(terms, cut(compiler.term_weights(terms, e), "weights"), e)
+        found = compiler.expand(compiler.seeds(scored, e), e, snap.edges)
+        texts = self.sources()
+        shown = cut(compiler.rendered(compiler.with_levels(found), e, texts).withColumn("tokens", count(F.col("text"))), "candidates")
+        chosen = cut(compiler.budgeted(shown, budget), "capsules")
+        gold = tasks.select("task", F.explode("gold_files").alias("file"))
+        steps = tasks.select("task", F.explode("grep_steps.pattern").alias("pattern"))
+        quality = aggregate.retrieval_quality(chosen.select("task", "file"), gold)
+        spent = chosen.groupBy("task").agg(F.sum("tokens").alias("tokens"))
+        baseline = aggregate.baseline_tokens(gold, steps, texts, count).select("task", F.col("traced").alias("baseline"))
+        out = cut(quality.join(spent, "task", "left").join(baseline, "task", "left").fillna(0, ["tokens", "baseline"]), "benchmark")
+        return out.orderBy("task"), aggregate.benchmark_summary(out)
+
     # --- similarity
 
     def _pairs(self, least: float) -> DataFrame:
@@ -185,11 +207,13 @@ class Service:
         return similar.find_pairs(bodies, snap.edges, snap.entities, least)
 
     def duplicates(self, least: float = similar.LEAST_OVERALL) -> DataFrame:
-        return similar.undecided(self._pairs(least if least > 0 else similar.LEAST_OVERALL), self.decisions.table(self.spark))
+        found = similar.undecided(self._pairs(least if least > 0 else similar.LEAST_OVERALL), self.decisions.table(self.spark))
+        return similar.named(found, self.entities()).orderBy(F.desc("overall"), "pair_key")
 
     def similar(self, name: str, file_part: str = "") -> DataFrame:
         e = search.find_unique(self.entities(), name, file_part)
-        return similar.undecided(similar.involving(cut(self._pairs(0.0), "pairs"), e.entity_id), self.decisions.table(self.spark)).orderBy(F.desc("overall"), "pair_key")
+        found = similar.undecided(similar.involving(cut(self._pairs(0.0), "pairs"), e.entity_id), self.decisions.table(self.spark))
+        return similar.named(found, self.entities()).orderBy(F.desc("overall"), "pair_key")
 
     def decide(self, a: str, b: str, decision: str) -> None:
         self.decisions.decide(a, b, decision)

@@ -148,7 +148,8 @@ def reconcile(running: DataFrame, registered: DataFrame) -> DataFrame:
 
 def load_tasks(spark: SparkSession, path: str) -> DataFrame:
     """(fixture, id, prompt, gold_files, grep_steps) of a task-set file; an empty set is an error."""
-    sets = spark.read.json(path, multiLine=True)
+    task = "struct<id:string,prompt:string,gold_files:array<string>,grep_steps:array<struct<pattern:string,note:string>>>"
+    sets = spark.read.schema(f"fixture string, tasks array<{task}>").json(path, multiLine=True)
     tasks = sets.select("fixture", F.explode("tasks").alias("t")).select("fixture", "t.*")
     if tasks.isEmpty():
         raise ValueError(f"{path} has no tasks")

@@ -157,3 +157,24 @@ def test_typescript_shapes():
     row = facts_of("r", "a.ts", "ts", source.encode())
     assert {e["name"] for e in row["entities"]} == {"UserModel", "toJSON", "GET /users (email, page)", "thing", "works"}
     assert {(i["local_name"], i["imported_name"]) for i in row["imports"]} == {("a", "a"), ("c", "b")}
+
+
+def test_bad_statements_cost_themselves_only():
+    good = "".join(f"def f{i}(a):\n    return g(a) + {i}\n\n" for i in range(40))
+    row = facts_of("r", "a.py", "py", (good + "print 'old'\n" + "def last():\n    return 'é'\n").encode())
+    assert row["parse_error"] is None and 0 < row["error_ratio"] < 0.1 and len(row["entities"]) == 41
+    last = row["entities"][-1]
+    assert last["name"] == "last" and last["anchor"]["start_line"] == 122
+    assert facts_of("r", "a.py", "py", b"def (:\n  x y z\n")["parse_error"]
+
+
+def test_slow_files_are_given_up(monkeypatch):
+    import time
+
+    from skein.operators import extract
+
+    monkeypatch.setattr(extract, "MOST_SECONDS", 0.05)
+    monkeypatch.setitem(extract.EXTRACTORS, "py", lambda *_: time.sleep(5))
+    assert "0.05 s" in facts_of("r", "a.py", "py", b"x = 1\n")["parse_error"]
+    monkeypatch.undo()
+    assert facts_of("r", "a.py", "py", b"")["parse_error"] is None

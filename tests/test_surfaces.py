@@ -105,3 +105,28 @@ def test_command_line(service, spark, tmp_path):
     assert cli.run(args("context", "call low"), spark).splitlines()[0].endswith("items")
     cli.run(args("project", "add", "one", str(tmp_path)), None)
     assert cli.run(args("project", "list"), None) == f"one  {tmp_path}"
+
+
+BODY = "def {}(a, b):\n    total = 0\n    for x in a:\n        if x > b:\n            total = total + x * 2\n    return total{}\n\n"
+
+
+def test_renderers_and_benchmark(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "one.py").write_text(BODY.format("sum_big", "") + "def low():\n    return 1\n\ndef high():\n    return low()\n\ndef test_high():\n    high()\n")
+    (root / "two.py").write_text(BODY.format("sum_large", " + 1"))
+    args = lambda *a: cli.parser().parse_args(["--project", str(root), "--warehouse", str(tmp_path / "w"), *a])
+    run = lambda *a: cli.run(args(*a), spark)
+    run("index")
+    assert run("inspect", "low").splitlines()[0] == "Function one.py#low  one.py:8-9"
+    assert run("impact", "low").splitlines() == ["1  one.py#high  direct", "2  one.py#test_high  test", "2 impacted, 1 tests"]
+    assert run("path", "low", "test_high").splitlines() == ["low", "  1. CALLS one.py#high", "  2. CALLS one.py#test_high"]
+    assert run("related", "low").splitlines()[0] == "1  Function  one.py#high  one.py  11"
+    pair = run("similar", "sum_big").split()
+    assert pair[1] == "near" and {pair[2], pair[4]} == {"one.py#sum_big", "two.py#sum_large"} and 0.3 <= float(pair[0]) < 1
+    run("decide", pair[-2], pair[-1], "intentional")
+    assert run("similar", "sum_big") == "" and run("duplicates", "--min", "0.1") == ""
+    tasks = [{"id": "t1", "prompt": "change low", "gold_files": ["one.py"], "grep_steps": [{"pattern": "low", "note": ""}]}, {"id": "t2", "prompt": "sum large", "gold_files": ["two.py", "none.py"], "grep_steps": []}]
+    (tmp_path / "tasks.json").write_text(json.dumps({"fixture": "f", "tasks": tasks}))
+    lines = run("benchmark", str(tmp_path / "tasks.json")).splitlines()
+    assert [x.split()[:2] for x in lines[:2]] == [["t1", "1.0"], ["t2", "0.5"]] and lines[-1].startswith("recall 0.75, precision ")
