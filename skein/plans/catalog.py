@@ -481,4 +481,4 @@ def resolve_cascade(spark, sf_dir):
     return resolve.resolve(_synthetic_sources(spark, sf_dir)).select("ref_id", "disposition", "dst")
 
 
-from skein.plans import catalog_operators, catalog_resolution  # noqa: E402, F401  they enter their own queries
+from skein.plans import catalog_extraction, catalog_operators, catalog_resolution  # noqa: E402, F401  they enter their own queries
