@@ -69,7 +69,7 @@ STAGES = [
 ]
 STAGES = [(name, tuned(stage)) for name, stage in STAGES]
 
-#: Learning languages and the tokenizer's merges can't be put in SQL; tests/llm/test_others.py follows each stage's decisions.
+#: Learning languages and the tokenizer's merges can't be put in SQL; tests/llm/test_pipeline.py has the whole run in plain Python.
 ORACLE_SQL = None
 
 
