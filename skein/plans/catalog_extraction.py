@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from skein.functions import text
 from skein.operators.extract import extract_facts, tables_of
+from skein.operators.resolve import Config, edges_of, resolve
 from skein.plans.registered import ORACLES, QUERIES, query
 from skein.session import table
 from skein.sources import files as sources
+from skein.storage import cut
 
 REPO = "repo"
 
@@ -24,7 +26,8 @@ REPO = "repo"
 @dataclass
 class Source:
     """``entities``: (kind, owner, name, disambiguator, first text, last text); ``refs``: (kind, source entity, scope, name, member,
-    receiver type, place); ``facts``: (what, four values) of imports, re-exports, extension methods and field types."""
+    receiver type, place); ``facts``: (what, four values) of imports, re-exports, extension methods and field types; ``edges``: (source,
+    kind, target, place)."""
 
     path: str
     params: tuple[str, str, str]
@@ -32,6 +35,7 @@ class Source:
     entities: list[tuple] = field(default_factory=list)
     refs: list[tuple] = field(default_factory=list)
     facts: list[tuple] = field(default_factory=list)
+    edges: list[tuple] = field(default_factory=list)
 
 
 TS = [Source("src/m~k/service.ts", ("", "a", "a, b"), """\
@@ -90,6 +94,9 @@ it('does ~k', () => { local~k(9); });
     ("import", "User~k", "./models/m~k", "User~k", ""), ("import", "N~k", "./models/m~k", "Named", ""), ("import", "util", "@/util~k", "", "namespace"),
     ("import", "express", "express~k", "", "default"), ("import", "ld~k", "lib~k", "load~k", ""), ("import", "whole~k", "whole~k", "", "default"),
     ("reexport", "", "./star~k", "", "star"), ("reexport", "Two~k", "./one~k", "One~k", ""),
+], [
+    ("Service~k", "IMPLEMENTS", "Named~k", "implements |Named~k"), ("Service~k.run~k", "CALLS", "Service~k.helper~k", "this.|helper~k(2"),
+    ("Service~k.helper~k", "CALLS", "local~k", "|local~k(5"), ("does ~k", "CALLS", "local~k", "|local~k(9"),
 ])]
 
 GO = [Source("pkg~k/a.go", ("", "a int", "a int, b int"), """\
@@ -128,7 +135,7 @@ func helper~k(~p) int { f := func() int { return 1 }; return f(/* é */) }
 ], [
     ("import", "fmt", "fmt", "", "namespace"), ("import", "st", "example.com/x~k/store", "", "namespace"),
     ("field", "Base~k", "n", "int", ""), ("field", "S~k", "db", "st.DB", ""), ("field", "S~k", "count", "int", ""), ("field", "S~k", "total", "int", ""),
-]), Source("pkg~k/a_test.go", ("", "a int", "a int, b int"), """\
+], [("S~k", "EXTENDS", "Base~k", "{\n\t|Base~k\n"), ("S~k.Do~k", "CALLS", "helper~k", "|helper~k(3")]), Source("pkg~k/a_test.go", ("", "a int", "a int, b int"), """\
 package pkg
 import "testing"
 func TestDo~k(t *testing.T) { helper~k(1) }
@@ -139,7 +146,7 @@ func Testify~k(~p) { t.Run("x") }
 ], [
     ("call", "TestDo~k", "unqualified", "helper~k", "", "", "|helper~k(1"),
     ("call", "Testify~k", "qualified", "t", "Run", "testing.T", "t.|Run("),
-], [("import", "testing", "testing", "", "namespace")])]
+], [("import", "testing", "testing", "", "namespace")], [("TestDo~k", "CALLS", "helper~k", "|helper~k(1")])]
 
 CS = [Source("app~k/Thing.cs", ("", "int a", "int a, Dictionary<int, int> b"), """\
 using System.Text;
@@ -187,6 +194,8 @@ public static class Ext~k { public static int Twice~k(this Thing~k t, int n) { r
 ], [
     ("import", "", "System.Text", "", "namespace"), ("import", "Al~k", "My.Space~k", "", "namespace"),
     ("extension", "Twice~k", "Thing~k", "", ""), ("field", "Thing~k", "_repo", "Repo~k", ""), ("field", "Thing~k", "Store", "Store~k", ""),
+], [
+    ("Thing~k", "EXTENDS", "Base~k", ": |Base~k"), ("Thing~k", "IMPLEMENTS", "IThing~k", ", |IThing~k"), ("Thing~k.Act~k", "CALLS", "Thing~k.Help~k", "|Help~k(3"),
 ])]
 
 PY = [Source("app/svc~k.py", ("", "a", "a, b"), """\
@@ -233,6 +242,8 @@ def free~k(~p):
 ], [
     ("import", "json", "json", "", "namespace"), ("import", "osp", "os.path", "", "namespace"),
     ("import", "R~k", ".models~k", "Repo~k", ""), ("import", "Other~k", ".models~k", "Other~k", ""),
+], [
+    ("Svc~k", "EXTENDS", "Base~k", "(|Base~k"), ("Svc~k.go~k", "CALLS", "Svc~k.stop~k", "|self.stop~k(3"), ("test_go~k", "CALLS", "Svc~k", "|Svc~k(6"),
 ])]
 
 LANGUAGES = {"ts": TS, "go": GO, "cs": CS, "py": PY}
@@ -310,6 +321,13 @@ def _facts_sql(s: Source) -> str:
     return f", w(what, a, b, c, d) AS (VALUES {_rows(s.facts)}) SELECT file, what, {sub('a')} AS a, {sub('b')} AS b, {sub('c')} AS c, d FROM f, w"
 
 
+def _edges_sql(s: Source) -> str:
+    sub = lambda x: _sub(x, s.params)
+    return f""", x0(src, kind, dst, place) AS (VALUES {_rows(s.edges)}),
+x AS (SELECT *, substr(text, 1, strpos(text, replace({sub('place')}, '|', '')) + strpos(place, '|') - 2) AS before FROM f, x0)
+SELECT unit || '#' || {sub('src')} AS src, kind, unit || '#' || {sub('dst')} AS dst, file || ':' || ({_lines('before')} + 1) AS evidence FROM x"""
+
+
 def _entities(spark, sf_dir, lang: str) -> DataFrame:
     at = [F.col(f"anchor.{c}") for c in ("start_byte", "end_byte", "content_hash")]
     return _tables(spark, sf_dir, lang)["entities"].select("entity_id", "kind", "qualified", "name", "owner", "file", *at, "start_line", "end_line")
@@ -332,8 +350,17 @@ def _bindings(spark, sf_dir, lang: str) -> DataFrame:
     return found.union(of("field_types", "field", "owner", "field", "type", none))
 
 
+def _edges(spark, sf_dir, lang: str) -> DataFrame:
+    """From text to edges: extraction, then the cascade; what isn't declared in the sources makes no edge."""
+    t = {k: cut(v, k) for k, v in _tables(spark, sf_dir, lang).items()}
+    named = t["entities"].select("entity_id", "qualified")
+    found = edges_of(resolve(t, Config())).select("src", "kind", "dst", "evidence")
+    named_ends = found.join(named.toDF("src", "from"), "src").join(named.toDF("dst", "to"), "dst")
+    return named_ends.select(F.col("from").alias("src"), "kind", F.col("to").alias("dst"), "evidence")
+
+
 def _register(lang: str) -> None:
-    for what, run, sql in (("entities", _entities, _entities_sql), ("references", _references, _refs_sql), ("bindings", _bindings, _facts_sql)):
+    for what, run, sql in (("entities", _entities, _entities_sql), ("references", _references, _refs_sql), ("bindings", _bindings, _facts_sql), ("edges", _edges, _edges_sql)):
         name = f"extract_{lang}_{what}"
         QUERIES[name] = lambda spark, sf_dir, run=run: run(spark, sf_dir, lang)
         ORACLES[name] = _all(lang, sql)
