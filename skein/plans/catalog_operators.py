@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skein.operators import aggregate, graph, resolve, search, similar
@@ -11,6 +13,7 @@ from skein.plans.catalog import RETRIEVAL, WITH, _scored
 from skein.plans.registered import query
 from skein.session import table
 from skein.sources import store
+from skein.storage import shared_dir
 
 # --- context
 
@@ -239,3 +242,25 @@ def dependents_of_changes(spark, sf_dir):
     files = rows.select(file(k).alias("file"), lang.alias("lang"), folder(k).alias("dir"))
     targets = rows.select(file(k).alias("file"), lang.alias("lang"), F.when(k % 2 == 0, file(k + 2)).otherwise(folder(k + 2)).alias("target"))
     return resolve.dependents(files, targets, rows.where("c_custkey % 10 IN (3, 4)").select(file(k).alias("file")))
+
+
+# --- snapshots
+
+
+@query(f"""{WITH}, kept AS (SELECT entity_id FROM entities WHERE NOT (kind = 'customer' AND right(entity_id, 1) = '3'))
+SELECT 'entity' AS what, entity_id AS a, '' AS b FROM kept UNION ALL SELECT kind, src, dst FROM edges WHERE src IN (FROM kept) AND dst IN (FROM kept)""")
+def snapshot_scanned(spark, sf_dir):
+    """A snapshot that replaced another one, as a reader finds it behind the pointer: edges that lead nowhere are not in it."""
+    e, where = tables.entities(spark, sf_dir), f"{shared_dir(spark)}/skein-snapshot-{uuid.uuid4().hex[:12]}"
+    store.write_snapshot(where, "repo", {"entities": e.limit(0), "edges": tables.edges(spark, sf_dir).limit(0)})
+    store.write_snapshot(where, "repo", {"entities": e.where("NOT (kind = 'customer' AND right(entity_id, 1) = '3')"), "edges": tables.edges(spark, sf_dir)})
+    found = store.Snapshot(spark, where)
+    return found.all().select(F.lit("entity").alias("what"), F.col("entity_id").alias("a"), F.lit("").alias("b")).union(found.edges.select("kind", "src", "dst"))
+
+
+@query(f"{WITH} SELECT entity_id, kind, name, qualified FROM entities WHERE entity_id = 'orders:7'")
+def snapshot_lookup(spark, sf_dir):
+    where = f"{shared_dir(spark)}/skein-snapshot-{uuid.uuid4().hex[:12]}"
+    store.write_snapshot(where, "repo", {"entities": tables.entities(spark, sf_dir)})
+    row = store.Snapshot(spark, where).lookup("orders:7")
+    return spark.createDataFrame([row] if row else [], "entity_id string, kind string, name string, qualified string, file string").drop("file")

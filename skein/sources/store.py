@@ -8,6 +8,8 @@ import time
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +29,24 @@ def state_dir(warehouse: str, root: str) -> str:
     return f"{warehouse.rstrip('/')}/{repo_state_name(os.path.abspath(root))}"
 
 
-def _pointer(directory: str) -> Path:
-    return Path(directory, "CURRENT.json")
+def _pointer(directory: str) -> str:
+    return f"{directory}/CURRENT.json"
 
 
-def write_snapshot(directory: str, repo: str, tables: dict[str, DataFrame]) -> str:
-    """Write all tables beside the current version, then switch the pointer in one rename; dangling edges are left out.
+def _replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file wherever Spark writes, put in place by one rename."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    target, fresh = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fresh.getFileSystem(conf).getUri(), conf).rename(fresh, target, over)
+
 
-    The pointer lives on the driver's file system, the tables where Spark writes.
-    """
+def write_snapshot(directory: str, repo: str, tables: dict[str, DataFrame]) -> str:
+    """Write all tables beside the current version, then switch the pointer, which lies beside them, in one rename; dangling edges are left out."""
     version = f"v{time.time_ns()}-{uuid.uuid4().hex[:6]}"
     for name, df in tables.items():
         if name == "edges":
@@ -44,18 +55,15 @@ def write_snapshot(directory: str, repo: str, tables: dict[str, DataFrame]) -> s
             df = df.repartitionByRange("entity_id").sortWithinPartitions("entity_id")
         df.write.parquet(f"{directory}/{version}/{name}")
     meta = {"format": FORMAT_VERSION, "repo": repo, "version": version, "tables": sorted(tables)}
-    Path(directory).mkdir(parents=True, exist_ok=True)
-    fresh = Path(directory, f".{uuid.uuid4().hex}")
-    fresh.write_text(json.dumps(meta))
-    fresh.replace(_pointer(directory))
+    _replace_text(next(iter(tables.values())).sparkSession, _pointer(directory), json.dumps(meta))
     return version
 
 
 class Snapshot:
     def __init__(self, spark: SparkSession, directory: str):
         try:
-            self.meta = json.loads(_pointer(directory).read_text())
-        except (OSError, ValueError) as e:
+            self.meta = json.loads(spark.read.text(_pointer(directory), wholetext=True).first().value)
+        except (PySparkException, Py4JJavaError, AttributeError, ValueError) as e:
             raise BadSnapshot(f"no snapshot in {directory}") from e
         if self.meta.get("format") != FORMAT_VERSION:
             raise BadSnapshot(f"format {self.meta.get('format')}, expected {FORMAT_VERSION}")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import threading
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,9 @@ from skein.sources.files import EXTENSIONS, SKIPPED_DIRS, SKIPPED_FILES
 from skein.sources.store import Projects
 
 QUIET_S, POLL_S, REGISTRY_S = 0.3, 0.2, 5.0
+#: A first index that takes longer is given up; the watch goes on.
+INDEX_S = 60.0
+T = TypeVar("T")
 
 
 def listing(root: str) -> dict[str, tuple[int, int]]:
@@ -89,6 +94,31 @@ def watch(status: Status, update: Callable[[list[str]], object], quiet: float =
             waiting.add(batch)
 
 
+def limited(spark: SparkSession, seconds: float, work: Callable[[], T]) -> T:
+    """``work()``, of which no Spark job goes on after ``seconds``: a ``TimeoutError`` then, whatever it ended with."""
+    tag, done, late = f"skein-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def end() -> None:
+        if not done.wait(seconds):
+            late.set()
+            while not done.is_set():  # jobs that start after the first call end as well
+                spark.sparkContext.cancelJobsWithTag(tag)
+                done.wait(0.5)
+
+    spark.sparkContext.addJobTag(tag)
+    watcher = threading.Thread(target=end, daemon=True)
+    watcher.start()
+    try:
+        return work()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"over {seconds:g} s") from e
+        raise
+    finally:
+        done.set()
+        spark.sparkContext.removeJobTag(tag)
+
+
 class Supervisor:
     """One watcher per registered project, kept in step with the registry. Safe to read from other threads."""
 
@@ -110,8 +140,8 @@ class Supervisor:
 
         def run() -> None:
             try:
-                service.index()
-            except Exception as e:  # noqa: BLE001
+                limited(self.spark, INDEX_S, service.index)
+            except Exception as e:  # noqa: BLE001  its watch goes on
                 status.errors, status.last_error = 1, f"{type(e).__name__}: {e}"[:300]
             watch(status, service.update)
 

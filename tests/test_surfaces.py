@@ -11,7 +11,7 @@ import pytest
 from skein.plans import cli, mcp
 from skein.plans.service import Service
 from skein.sources.store import Projects
-from skein.streaming.watch import Debouncer, Status, Supervisor, listing, watch
+from skein.streaming.watch import Debouncer, Status, Supervisor, limited, listing, watch
 
 
 def test_debouncer():
@@ -65,6 +65,16 @@ def test_supervisor_follows_the_registry(spark, tmp_path, monkeypatch):
     assert s.reconcile() == {"x": "stop"} and s.snapshot() == {}
 
 
+def test_index_limit(spark):
+    slow = spark.range(1 << 40).selectExpr("sum(hash(id)) AS s")
+    began = time.time()
+    with pytest.raises(TimeoutError):
+        limited(spark, 1.0, slow.collect)
+    assert time.time() - began < 30 and limited(spark, 30, spark.range(5).count) == 5
+    with pytest.raises(ZeroDivisionError):
+        limited(spark, 30, lambda: 1 / 0)
+
+
 @pytest.fixture(scope="module")
 def service(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("surface") / "repo"
