@@ -13,9 +13,10 @@ import signal
 import threading
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skein.functions.identity import sha_hex
 from skein.operators.extract import cs, go, py, ts
@@ -23,6 +24,8 @@ from skein.schemas import FACTS
 
 EXTRACTORS = {"ts": ts.extract, "go": go.extract, "cs": cs.extract, "py": py.extract}
 MOST_ERRORS, MOST_SECONDS = 0.10, 5.0
+#: Files whose facts leave a worker together.
+MOST_ROWS = 500
 LISTS = ("entities", "refs", "imports", "reexports", "ext_methods", "field_types")
 
 
@@ -65,15 +68,17 @@ def facts_of(repo: str, file: str, lang: str, content: bytes) -> dict:
 
 
 def extract_facts(files: DataFrame, repo: str) -> DataFrame:
-    """FACTS rows from (rel_path, lang, content)."""
-    names = [f.partition(" ")[0] for f in ("file ", "lang ", "parse_error ", "error_ratio ", "content_hash ")] + list(LISTS)
+    """FACTS rows from (rel_path, lang, content). Files that come in few partitions are best dealt anew (``storage.spread``) first."""
+    schema = to_arrow_schema(files.sparkSession.createDataFrame([], FACTS).schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [facts_of(repo, f, lang, c) for f, lang, c in zip(pdf["rel_path"], pdf["lang"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, MOST_ROWS):
+                part = batch.slice(first, MOST_ROWS)
+                rows = [facts_of(repo, *f) for f in zip(*(part.column(c).to_pylist() for c in ("rel_path", "lang", "content")), strict=True)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("rel_path", "lang", "content").mapInPandas(run, FACTS)
+    return files.select("rel_path", "lang", "content").mapInArrow(run, FACTS)
 
 
 def tables_of(facts: DataFrame, repo: str) -> dict[str, DataFrame]:

@@ -18,7 +18,7 @@ from skein.operators.resolve import Config, edges_of, resolve
 from skein.plans.registered import ORACLES, QUERIES, query
 from skein.session import table
 from skein.sources import files as sources
-from skein.storage import cut
+from skein.storage import cut, spread
 
 REPO = "repo"
 
@@ -257,13 +257,23 @@ def _filled(template: str, params: tuple[str, str, str]) -> Column:
     return out
 
 
-def _tables(spark, sf_dir, lang: str) -> dict[str, DataFrame]:
-    customers = table(spark, sf_dir, "customer")
+def _facts(spark, sf_dir, lang: str) -> DataFrame:
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     files = None
     for s in LANGUAGES[lang]:
         some = customers.select(_filled(s.path, s.params).alias("rel_path"), F.lit(lang).alias("lang"), F.encode(_filled(s.text, s.params), "UTF-8").alias("content"))
         files = some if files is None else files.union(some)
-    return tables_of(extract_facts(files, REPO), REPO)
+    return extract_facts(files, REPO)
+
+
+def _tables(spark, sf_dir, lang: str) -> dict[str, DataFrame]:
+    """For reading one of them."""
+    return tables_of(_facts(spark, sf_dir, lang), REPO)
+
+
+def _written_tables(spark, sf_dir, lang: str) -> dict[str, DataFrame]:
+    """For reading several: files are extracted once."""
+    return tables_of(cut(_facts(spark, sf_dir, lang), "facts"), REPO)
 
 
 def _str(x: str) -> str:
@@ -338,7 +348,7 @@ def _references(spark, sf_dir, lang: str) -> DataFrame:
 
 
 def _bindings(spark, sf_dir, lang: str) -> DataFrame:
-    t, none = _tables(spark, sf_dir, lang), F.lit("")
+    t, none = _written_tables(spark, sf_dir, lang), F.lit("")
 
     def of(name: str, what: str, *columns) -> DataFrame:
         return t[name].select("file", F.lit(what), *columns).toDF("file", "what", "a", "b", "c", "d")
@@ -352,7 +362,7 @@ def _bindings(spark, sf_dir, lang: str) -> DataFrame:
 
 def _edges(spark, sf_dir, lang: str) -> DataFrame:
     """From text to edges: extraction, then the cascade; what isn't declared in the sources makes no edge."""
-    t = {k: cut(v, k) for k, v in _tables(spark, sf_dir, lang).items()}
+    t = _written_tables(spark, sf_dir, lang)
     named = t["entities"].select("entity_id", "qualified")
     found = edges_of(resolve(t, Config())).select("src", "kind", "dst", "evidence")
     named_ends = found.join(named.toDF("src", "from"), "src").join(named.toDF("dst", "to"), "dst")
@@ -400,7 +410,7 @@ def files_given_up(spark, sf_dir):
     good = ["function f() { return 1 }", "package p\nfunc f() int { return 1 }", "class f { }", "def f():\n    return 1\n"]
     bad = ["((((( [[[ {{{ function f() { return 1 }", "package p\nfunc f( { {{ ((", "class f { { { ( (", "def f(:\n  ) return ][\n"]
     pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (key % 4 + 1).cast("int"))
-    files = table(spark, sf_dir, "customer").select(
+    files = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         F.concat(F.lit("f"), key.cast("string"), F.lit("."), pick(langs)).alias("rel_path"), pick(langs).alias("lang"),
         F.encode(F.when(key % 3 == 0, pick(bad)).otherwise(pick(good)), "UTF-8").alias("content"),
     )
