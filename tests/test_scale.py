@@ -41,3 +41,28 @@ def test_sources_that_end_anywhere(lang):
         for end in range(len(s.text)):
             found = facts_of("repo", s.path, lang, s.text[:end].encode())
             assert found["parse_error"] is None or "can't be parsed" in found["parse_error"]
+
+
+def test_large_candidate_sets_are_dealt(spark, monkeypatch):
+    """A set joins its references last, in as many tasks as their candidates ask for; before, each reference carried its candidates."""
+    from pyspark.sql import functions as F
+
+    from skein.operators import resolve
+
+    monkeypatch.setattr(resolve, "MOST_CANDIDATES", 10)
+    names = [f"e{i}" for i in range(5)]
+    tables = {
+        "files": spark.createDataFrame([(f"d{i}/a.go", "go", "") for i in range(3)], "file string, lang string, content_hash string"),
+        "entities": spark.createDataFrame([(n, "Function", "go", "", "f", "", f"d{i % 2}/a.go") for i, n in enumerate(names)], "entity_id string, kind string, lang string, qualified string, name string, owner string, file string"),
+        "refs": spark.createDataFrame(
+            [(i, f"d{i % 3}/a.go", "go", "call", "s", "unqualified", "f" if i % 5 else "gone", "", "", 1) for i in range(60)],
+            "ref_id bigint, file string, lang string, kind string, src string, scope string, name string, member string, receiver_type string, start_line int",
+        ),
+        "imports": spark.createDataFrame([], "file string, lang string, ord int, local_name string, source string, imported_name string, is_namespace boolean, is_default boolean"),
+        "reexports": spark.createDataFrame([], "file string, ord int, source string, is_star boolean, exported_name string, local_alias string"),
+        "ext_methods": spark.createDataFrame([], "file string, entity_id string, name string, extended_type string"),
+        "field_types": spark.createDataFrame([], "file string, lang string, owner string, field string, type string"),
+    }
+    found = {r.ref_id: (r.disposition, r.candidates) for r in resolve.resolve(tables, candidates=lambda ids: F.array_join(ids, " ")).collect()}
+    seen = {0: "e0 e2 e4", 1: "e1 e3", 2: "e0 e1 e2 e3 e4"}
+    assert found == {i: ("ambiguous", seen[i % 3]) if i % 5 else ("bug-extractor", None) for i in range(60)}
