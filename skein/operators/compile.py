@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,24 +199,32 @@ def budgeted(candidates: DataFrame, total: int = DEFAULT_BUDGET, share: float =
 
     Primaries get ``int(share * total)`` tokens, the rest goes to related
     entities. A task's candidates are a few seeds and their close neighbours, so
-    each task is one small group.
+    each task is one small list; many tasks go through Python together.
     """
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, spent, place = [], 0, 0
-        for category in ("primary", "related"):
-            own = pdf[pdf["category"] == category].sort_values("rank", kind="stable").reset_index(drop=True)
-            room = int(share * total) if category == "primary" else total - spent
-            picked = knapsack(own["tokens"].tolist(), own["score"].tolist(), room) if total > 0 else []
-            spent += int(own.loc[picked, "tokens"].sum()) if picked else 0
-            for i in picked:
-                place += 1
-                out.append((own["task"][i], own["entity_id"][i], place))
-        return pd.DataFrame(out, columns=["task", "entity_id", "place"])
-
     small = candidates.select("task", "entity_id", "category", "rank", "score", "tokens")
     kind = dict(candidates.dtypes)["task"]
-    picked = small.groupBy("task").applyInPandas(choose, f"task {kind}, entity_id string, place int")
+    item = F.struct("rank", "entity_id", F.col("score").cast("double").alias("score"), F.col("tokens").cast("bigint").alias("tokens"))
+
+    def own(category: str) -> Column:
+        return F.sort_array(F.collect_list(F.when(F.col("category") == category, item))).alias(category)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ids, places = [], [], []
+            for row, (primary, related) in enumerate(zip(batch["primary"].to_pylist(), batch["related"].to_pylist(), strict=True)):
+                spent, place = 0, 0
+                for items, room in ((primary, int(share * total)), (related, None)):
+                    room = total - spent if room is None else room
+                    costs = [x["tokens"] for x in items]
+                    for i in knapsack(costs, [x["score"] for x in items], room) if total > 0 else ():
+                        spent, place = spent + costs[i], place + 1
+                        at.append(row)
+                        ids.append(items[i]["entity_id"])
+                        places.append(place)
+            yield pa.RecordBatch.from_arrays([batch["task"].take(pa.array(at, pa.int64())), pa.array(ids, pa.string()), pa.array(places, pa.int32())], ["task", "entity_id", "place"])
+
+    grouped = small.groupBy("task").agg(own("primary"), own("related"))
+    picked = grouped.mapInArrow(choose, f"task {kind}, entity_id string, place int")
     return candidates.join(picked, ["task", "entity_id"])
 
 

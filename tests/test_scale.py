@@ -5,7 +5,7 @@ import os
 import pytest
 
 from skein.operators.extract import EXTRACTORS, facts_of
-from skein.plans import catalog_extraction
+from skein.plans import catalog_extraction, catalog_operators  # noqa: F401  registers its queries
 from skein.plans.registered import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,10 @@ def test_large_candidate_sets_are_dealt(spark, monkeypatch):
     found = {r.ref_id: (r.disposition, r.candidates) for r in resolve.resolve(tables, candidates=lambda ids: F.array_join(ids, " ")).collect()}
     seen = {0: "e0 e2 e4", 1: "e1 e3", 2: "e0 e1 e2 e3 e4"}
     assert found == {i: ("ambiguous", seen[i % 3]) if i % 5 else ("bug-extractor", None) for i in range(60)}
+
+
+@needs_tables
+def test_tasks_are_budgeted_in_batches(spark):
+    """Each task was a group of its own in pandas."""
+    shown = plan(QUERIES["capsules_budgeted"](spark, SF))
+    assert "MapInArrow" in shown and "FlatMapGroups" not in shown
