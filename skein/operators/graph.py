@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.storage import cut
@@ -36,12 +36,22 @@ def fan_counts(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _steps(edges: DataFrame, undirected: bool) -> DataFrame:
-    """(at, to, via): one row per pair of neighbours, with the smallest edge between them."""
-    via = F.struct("src", "dst", "kind")
-    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), via.alias("via"))
-    if undirected:
-        back = back.union(edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), via.alias("via")))
-    return back.where("at <> to").groupBy("at", "to").agg(F.min("via").alias("via"))
+    """(at, to, forth, kind): one row per pair of neighbours, with the smallest edge between them, which runs from ``at`` if ``forth``.
+
+    Undirected, a pair is grouped once for both ways, and nothing repeats its ends."""
+    some = edges.where("src <> dst")
+    if not undirected:
+        return some.groupBy(F.col("dst").alias("at"), F.col("src").alias("to")).agg(F.min(F.struct("kind")).alias("e")).select("at", "to", F.lit(False).alias("forth"), "e.kind")
+    turned = (F.col("src") > F.col("dst")).alias("turned")  # an edge from the smaller end is the smaller one
+    pairs = some.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min(F.struct(turned, "kind")).alias("e"))
+    both = F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("to"), (~F.col("e.turned")).alias("forth")), F.struct(F.col("b").alias("at"), F.col("a").alias("to"), F.col("e.turned").alias("forth"))))
+    return pairs.select(both.alias("x"), F.col("e.kind").alias("kind")).select("x.*", "kind")
+
+
+def _via() -> Column:
+    """A step's edge."""
+    at, to = F.col("at"), F.col("to")
+    return F.struct(F.when(F.col("forth"), at).otherwise(to).alias("src"), F.when(F.col("forth"), to).otherwise(at).alias("dst"), "kind")
 
 
 def _walk(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool) -> DataFrame:
@@ -50,7 +60,7 @@ def _walk(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool) ->
     seen = frontier.select("start_id", F.col("at").alias("entity_id"), F.lit(0).alias("depth"), F.lit(None).cast("struct<src:string,dst:string,kind:string>").alias("via"))
     seen = cut(seen, "walk")
     for d in range(1, depth + 1):
-        reached = frontier.join(steps, "at").groupBy("start_id", F.col("to").alias("entity_id")).agg(F.min("via").alias("via"))
+        reached = frontier.join(steps, "at").groupBy("start_id", F.col("to").alias("entity_id")).agg(F.min(_via()).alias("via"))
         new = reached.join(seen.select("start_id", "entity_id"), ["start_id", "entity_id"], "left_anti")
         new = cut(new.select("start_id", "entity_id", F.lit(d).alias("depth"), "via"), "hop")
         if new.isEmpty():
@@ -86,7 +96,7 @@ def shortest_path(entities: DataFrame, edges: DataFrame, start: str, target: str
     seen = cut(frontier.select(F.col("at").alias("entity_id"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(None).cast("struct<src:string,dst:string,kind:string>").alias("via")), "walk")
     hops = []
     for d in range(1, UNLIMITED):
-        reached = frontier.join(steps, "at").groupBy(F.col("to").alias("entity_id")).agg(F.min(F.struct("at", "via")).alias("by"))
+        reached = frontier.join(steps, "at").groupBy(F.col("to").alias("entity_id")).agg(F.min(F.struct("at", _via().alias("via"))).alias("by"))
         new = reached.join(seen.select("entity_id"), "entity_id", "left_anti").select("entity_id", F.col("by.at").alias("parent"), F.lit(d).alias("depth"), F.col("by.via").alias("via"))
         new = cut(new, "hop")
         if new.isEmpty():

@@ -73,3 +73,21 @@ def test_tasks_are_budgeted_in_batches(spark):
     """Each task was a group of its own in pandas."""
     shown = plan(QUERIES["capsules_budgeted"](spark, SF))
     assert "MapInArrow" in shown and "FlatMapGroups" not in shown
+
+
+def test_steps_group_a_pair_once_and_repeat_no_ends(spark):
+    """Steps carried their edge's ends beside their own, and were grouped once for each way."""
+    from skein.operators import graph
+
+    rows = [("a", "b", "USES"), ("b", "a", "CALLS"), ("a", "b", "CALLS"), ("c", "b", "USES"), ("b", "b", "USES"), ("d", None, "USES"), ("c", "d", None), ("c", "d", "USES")]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string")
+    for undirected in (True, False):
+        steps = graph._steps(edges, undirected)
+        assert "via" not in steps.columns
+        got = sorted((r.at, r.to, r.via.src, r.via.dst, r.via.kind or "") for r in steps.select("at", "to", graph._via().alias("via")).collect())
+        best: dict = {}
+        for s, d, k in rows:
+            for at, to in ((d, s), (s, d)) if undirected else ((d, s),):
+                if d is not None and at != to:
+                    best[at, to] = min(best.get((at, to), (s, d, k or "")), (s, d, k or ""))
+        assert got == sorted((*ends, *e) for ends, e in best.items())
