@@ -67,9 +67,11 @@ def facts_of(repo: str, file: str, lang: str, content: bytes) -> dict:
         return row | {"parse_error": f"{type(e).__name__}: {e}"[:300]}
 
 
-def extract_facts(files: DataFrame, repo: str) -> DataFrame:
-    """FACTS rows from (rel_path, lang, content). Files that come in few partitions are best dealt anew (``storage.spread``) first."""
-    schema = to_arrow_schema(files.sparkSession.createDataFrame([], FACTS).schema)
+def extract_facts(files: DataFrame, repo: str, lists: tuple[str, ...] = LISTS) -> DataFrame:
+    """FACTS rows from (rel_path, lang, content), of their lists only ``lists``. Files that come in few partitions are best dealt anew (``storage.spread``) first."""
+    facts = files.sparkSession.createDataFrame([], FACTS)
+    facts = facts.drop(*(k for k in LISTS if k not in lists)).schema
+    schema = to_arrow_schema(facts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,26 +80,22 @@ def extract_facts(files: DataFrame, repo: str) -> DataFrame:
                 rows = [facts_of(repo, *f) for f in zip(*(part.column(c).to_pylist() for c in ("rel_path", "lang", "content")), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("rel_path", "lang", "content").mapInArrow(run, FACTS)
+    return files.select("rel_path", "lang", "content").mapInArrow(run, facts)
 
 
 def tables_of(facts: DataFrame, repo: str) -> dict[str, DataFrame]:
-    """The flat tables of good files; list places become ``ord``, references get stable numbers."""
+    """The flat tables of good files, as far as ``facts`` has their lists; list places become ``ord``, references get stable numbers."""
     good = facts.where("parse_error IS NULL")
-
-    def flat(name: str) -> DataFrame:
-        return good.select("file", "lang", F.posexplode(name).alias("ord", "x"))
-
-    e = flat("entities").select(
-        "x.entity_id", "x.kind", "lang", F.lit(repo).alias("repo"), "x.qualified", "x.name", "x.owner",
-        F.lit("").alias("signature"), F.lit("").alias("doc_summary"), "x.anchor", "file", F.col("x.anchor.start_line").alias("start_line"), F.col("x.anchor.end_line").alias("end_line"),
-    )
-    refs = flat("refs").select(F.xxhash64("file", "ord").alias("ref_id"), "file", "lang", "x.*")
-    return {
-        "entities": e, "refs": refs,
-        "imports": flat("imports").select("file", "lang", "ord", "x.*"),
-        "reexports": flat("reexports").select("file", "ord", "x.*"),
-        "ext_methods": flat("ext_methods").select("file", "x.*"),
-        "field_types": flat("field_types").select("file", "lang", "x.*"),
-        "files": good.select("file", "lang", "content_hash"),
+    columns = {
+        "entities": [
+            "x.entity_id", "x.kind", "lang", F.lit(repo).alias("repo"), "x.qualified", "x.name", "x.owner",
+            F.lit("").alias("signature"), F.lit("").alias("doc_summary"), "x.anchor", "file", F.col("x.anchor.start_line").alias("start_line"), F.col("x.anchor.end_line").alias("end_line"),
+        ],
+        "refs": [F.xxhash64("file", "ord").alias("ref_id"), "file", "lang", "x.*"],
+        "imports": ["file", "lang", "ord", "x.*"],
+        "reexports": ["file", "ord", "x.*"],
+        "ext_methods": ["file", "x.*"],
+        "field_types": ["file", "lang", "x.*"],
     }
+    flat = {k: good.select("file", "lang", F.posexplode(k).alias("ord", "x")).select(*c) for k, c in columns.items() if k in facts.columns}
+    return flat | {"files": good.select("file", "lang", "content_hash")}

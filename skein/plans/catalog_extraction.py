@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text
-from skein.operators.extract import extract_facts, tables_of
+from skein.operators.extract import LISTS, extract_facts, tables_of
 from skein.operators.resolve import Config, edges_of, resolve
 from skein.plans.registered import ORACLES, QUERIES, query
 from skein.session import table
@@ -257,22 +257,21 @@ def _filled(template: str, params: tuple[str, str, str]) -> Column:
     return out
 
 
-def _facts(spark, sf_dir, lang: str) -> DataFrame:
+def _facts(spark, sf_dir, lang: str, lists: tuple[str, ...] = LISTS) -> DataFrame:
     customers = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     files = None
     for s in LANGUAGES[lang]:
         some = customers.select(_filled(s.path, s.params).alias("rel_path"), F.lit(lang).alias("lang"), F.encode(_filled(s.text, s.params), "UTF-8").alias("content"))
         files = some if files is None else files.union(some)
-    return extract_facts(files, REPO)
+    return extract_facts(files, REPO, lists)
 
 
-def _tables(spark, sf_dir, lang: str) -> dict[str, DataFrame]:
-    """For reading one of them."""
-    return tables_of(_facts(spark, sf_dir, lang), REPO)
+def _table(spark, sf_dir, lang: str, name: str) -> DataFrame:
+    return tables_of(_facts(spark, sf_dir, lang, (name,)), REPO)[name]
 
 
 def _written_tables(spark, sf_dir, lang: str) -> dict[str, DataFrame]:
-    """For reading several: files are extracted once."""
+    """For reading several more than once: files are extracted once."""
     return tables_of(cut(_facts(spark, sf_dir, lang), "facts"), REPO)
 
 
@@ -340,24 +339,31 @@ SELECT unit || '#' || {sub('src')} AS src, kind, unit || '#' || {sub('dst')} AS
 
 def _entities(spark, sf_dir, lang: str) -> DataFrame:
     at = [F.col(f"anchor.{c}") for c in ("start_byte", "end_byte", "content_hash")]
-    return _tables(spark, sf_dir, lang)["entities"].select("entity_id", "kind", "qualified", "name", "owner", "file", *at, "start_line", "end_line")
+    return _table(spark, sf_dir, lang, "entities").select("entity_id", "kind", "qualified", "name", "owner", "file", *at, "start_line", "end_line")
 
 
 def _references(spark, sf_dir, lang: str) -> DataFrame:
-    return _tables(spark, sf_dir, lang)["refs"].select("file", "kind", "src", "scope", "name", "member", "receiver_type", "start_byte", "start_line")
+    return _table(spark, sf_dir, lang, "refs").select("file", "kind", "src", "scope", "name", "member", "receiver_type", "start_byte", "start_line")
 
 
 def _bindings(spark, sf_dir, lang: str) -> DataFrame:
-    t, none = _written_tables(spark, sf_dir, lang), F.lit("")
+    """The four lists of a file as one, so that its row is read once."""
+    facts = cut(_facts(spark, sf_dir, lang, ("imports", "reexports", "ext_methods", "field_types")), "facts")
 
-    def of(name: str, what: str, *columns) -> DataFrame:
-        return t[name].select("file", F.lit(what), *columns).toDF("file", "what", "a", "b", "c", "d")
+    def of(name: str, what: str, a: str | None, b: str, c: str | None, d) -> Column:
+        def row(x: Column) -> Column:
+            values = (F.lit(what), *(F.lit("") if k is None else x[k] for k in (a, b, c)), d(x))
+            return F.struct(*(v.alias(k) for k, v in zip(("what", "a", "b", "c", "d"), values, strict=True)))
 
-    how = F.when(F.col("is_namespace"), "namespace").when(F.col("is_default"), "default").otherwise("")
-    found = of("imports", "import", "local_name", "source", "imported_name", how)
-    found = found.union(of("reexports", "reexport", "local_alias", "source", "exported_name", F.when(F.col("is_star"), "star").otherwise("")))
-    found = found.union(of("ext_methods", "extension", "name", "extended_type", none, none))
-    return found.union(of("field_types", "field", "owner", "field", "type", none))
+        return F.transform(name, row)
+
+    none = lambda x: F.lit("")
+    every = F.concat(
+        of("imports", "import", "local_name", "source", "imported_name", lambda x: F.when(x["is_namespace"], "namespace").when(x["is_default"], "default").otherwise("")),
+        of("reexports", "reexport", "local_alias", "source", "exported_name", lambda x: F.when(x["is_star"], "star").otherwise("")),
+        of("ext_methods", "extension", "name", "extended_type", None, none), of("field_types", "field", "owner", "field", "type", none),
+    )
+    return facts.where("parse_error IS NULL").select("file", F.explode(every).alias("x")).select("file", "x.*")
 
 
 def _edges(spark, sf_dir, lang: str) -> DataFrame:

@@ -43,6 +43,35 @@ def test_sources_that_end_anywhere(lang):
             assert found["parse_error"] is None or "can't be parsed" in found["parse_error"]
 
 
+@needs_tables
+@pytest.mark.parametrize("lang", sorted(EXTRACTORS))
+def test_only_lists_that_are_read_leave_the_workers(spark, lang):
+    """All six lists of every file went to the JVM, whichever were read."""
+    assert "refs#" in plan(QUERIES[f"extract_{lang}_references"](spark, SF))
+    assert "refs#" not in plan(QUERIES[f"extract_{lang}_entities"](spark, SF))
+    assert "entities#" not in plan(QUERIES[f"extract_{lang}_references"](spark, SF))
+    assert "refs#" not in plan(QUERIES[f"extract_{lang}_bindings"](spark, SF))
+
+
+def test_long_file_with_a_wide_letter():
+    """Each place was counted from the file's start; a file of 1 MB took over five seconds and was given up."""
+    found = facts_of("repo", "a.ts", "ts", ("é();\n" + "call();\n" * 150_000).encode())
+    assert found["parse_error"] is None and len(found["refs"]) == 150_001
+    assert found["refs"][-1]["start_byte"] == 6 + 8 * 149_999 and found["refs"][-1]["start_line"] == 150_001
+
+
+@pytest.mark.parametrize("lang", ["ts", "go", "cs"])
+def test_tokens_at_once_are_those_one_by_one(lang):
+    from skein.operators.extract.lexer import Unit
+
+    odd = ["a / b /* c */ // d\n'e' \"f\\\"g\" `h\ni` $\"j\" @k 1.5 \u0664 \U0001d7ce \u0085\u00a0é \x1c :=", "/* open", "'open", "", "x /= 2; y = a ? /r(/.test(z) : 0", "return /[/(]/g; (1)"]
+    for source in odd + [s.text for s in catalog_extraction.LANGUAGES[lang]]:
+        u = Unit("repo", "a", lang, source)
+        got = u.texts[: u.n], u.kinds[: u.n], u.ats, [u.lines[i] for i in range(u.n)]
+        u._scan_slowly() if lang == "ts" or "/r" not in source and "/[" not in source else None
+        assert got == (u.texts[: u.n], u.kinds[: u.n], u.ats, [source[:i].count("\n") + 1 for i in u.ats])
+
+
 def test_large_candidate_sets_are_dealt(spark, monkeypatch):
     """A set joins its references last, in as many tasks as their candidates ask for; before, each reference carried its candidates."""
     from pyspark.sql import functions as F
