@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm._runs import trimmed
 from skein.llm._store import discard, free_shuffles, materialize, partitions, scratch_path
 from skein.llm._words import Lookup, slices, span_hashes, text_bytes
 from skein.session import table
@@ -117,7 +118,7 @@ class Encoder:
     added token's string, go through the library whole.
     """
 
-    def __init__(self, path: str, remember: int = 1_500_000, fresh: int = 1 << 16):
+    def __init__(self, path: str, remember: int = 600_000, fresh: int = 1 << 16):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -286,7 +287,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         part, row = TaskContext.get().partitionId(), 0
         squeeze, seen = _codec(), np.zeros(0, np.int64)
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text", 1 << 19):
                 found, bounds = encoder.encode(piece.column("text"))
                 n = len(bounds) - 1
                 ends = bounds[1:] + np.arange(1, n + 1)
@@ -311,7 +312,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), F.asc_nulls_first("doc_id"))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    tokens = materialize(ordered.mapInArrow(tokenize, "part int, row long, doc_id long, n long, ids binary"), "tokens")
+    tokens = materialize(ordered.mapInArrow(trimmed(tokenize), "part int, row long, doc_id long, n long, ids binary"), "tokens")
     del ordered
     free_shuffles(spark)
 
@@ -326,7 +327,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    counts = tokens.where("part < 0").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = tokens.where("part < 0").select("ids").mapInArrow(trimmed(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     id_of = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], "<u4")
     rank_of = np.zeros(int(id_of.max(initial=0)) + 1, np.uint32)
     rank_of[id_of] = np.arange(len(id_of))
@@ -355,7 +356,7 @@ def write_corpus(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         if own:
             yield flush()
 
-    tokens.where("part >= 0").mapInArrow(write, "part int, shard string, ids long").write.parquet(f"{out_dir}/manifest")
+    tokens.where("part >= 0").mapInArrow(trimmed(write), "part int, shard string, ids long").write.parquet(f"{out_dir}/manifest")
     discard(tokens)
 
 
@@ -390,7 +391,7 @@ def read_corpus(spark: SparkSession, out_dir: str, with_ids: bool = True) -> Dat
 
     schema = "shard string, doc_id long, before long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.svb").load(out_dir).select("path", "content")
-    rows = files.mapInArrow(read, schema)
+    rows = files.mapInArrow(trimmed(read), schema)
     # a shard's place: what earlier ranges hold, then what earlier shards of its range hold
     shards = spark.read.parquet(f"{out_dir}/manifest")
     total, bases = 0, []
