@@ -79,15 +79,16 @@ def baseline_tokens(gold: DataFrame, steps: DataFrame, files: DataFrame, count)
     """Per task: tokens of reading its gold files (oracle), of these and its search output (traced), and their ratio.
 
     ``gold`` (task, file), ``steps`` (task, pattern) with patterns in Java syntax, ``files`` (path, text); ``count`` maps
-    a text column to its tokens. Every step searches all lines, so steps meet lines in a product filtered by the pattern;
-    steps are a task set's few rows.
+    a text column to its tokens. Every step searches all lines, so distinct patterns meet lines in a product; what a
+    pattern finds is summed once and then counts for each task that has it.
     """
     whole = gold.select("task", "file").distinct().join(files, F.col("file") == F.col("path"))
     oracle = whole.groupBy("task").agg(F.sum(count(F.col("text"))).alias("oracle"))
     lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     shown = F.concat("path", F.lit(":"), (F.col("pos") + 1).cast("string"), F.lit(": "), "line", F.lit("\n"))
-    hits = lines.crossJoin(steps.select("task", "pattern").distinct()).where(F.regexp_like("line", F.col("pattern")))
-    output = hits.withColumn("shown", shown).groupBy("task").agg(F.sum(count(F.col("shown"))).alias("searched"))
+    hits = lines.crossJoin(F.broadcast(steps.select("pattern").distinct())).where(F.regexp_like("line", F.col("pattern")))
+    found = hits.withColumn("shown", shown).groupBy("pattern").agg(F.sum(count(F.col("shown"))).alias("found"))
+    output = steps.select("task", "pattern").distinct().join(found, "pattern").groupBy("task").agg(F.sum("found").alias("searched"))
     both = oracle.join(output, "task", "left").withColumn("traced", F.col("oracle") + F.coalesce("searched", F.lit(0)))
     return both.select("task", "oracle", "traced", F.try_divide(F.col("traced").cast("double"), "oracle").alias("ratio"))
 
