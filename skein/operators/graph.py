@@ -137,7 +137,8 @@ def remove_entities(entities: DataFrame, edges: DataFrame, gone: DataFrame) -> t
 
 
 def drop_dangling(entities: DataFrame, edges: DataFrame, self_loops: bool = False) -> DataFrame:
-    ids = entities.select("entity_id").distinct()
+    """``entities`` as it is: a semi-join needs no distinct ids, which a task would gather in memory."""
+    ids = entities.select("entity_id")
     kept = edges.join(ids, edges.src == ids.entity_id, "left_semi")
     kept = kept.join(ids, kept.dst == ids.entity_id, "left_semi")
     return kept if self_loops else kept.where("src <> dst")
