@@ -45,14 +45,15 @@ def matches(terms: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity_id, term, whole, name_tier, path_tier) of entities that a term matches at all.
 
     Terms, a few words of queries, meet the index's distinct tokens only; what
-    matches is joined to the entities by token.
+    matches is written, so that its size is known, and joined to the index by token.
     """
-    index = index_of(entities)
-    words = index.where("side <> 'whole'").select("token", "part").distinct().crossJoin(terms.select("term").distinct())
+    index, asked = index_of(entities), cut(terms.select("term").distinct(), "terms")
+    words = index.where("side <> 'whole'").select("token", "part").distinct().crossJoin(asked)
     term, token = F.col("term"), F.col("token")
     tier = F.when(term == token, 1.0).when(F.col("part") & T.stem_match(term, token), 0.6)
-    near = words.withColumn("tier", tier).where("tier > 0")
-    wholes = index.where("side = 'whole'").join(terms.select(F.col("term").alias("token")).distinct(), "token").select("entity_id", "side", F.col("token").alias("term"), F.lit(1.0).alias("tier"))
+    near = cut(words.withColumn("tier", tier).where("tier > 0"), "tokens")
+    names = entities.select("entity_id", F.lit("whole").alias("side"), F.lower("name").alias("term"))
+    wholes = names.join(asked, "term").select("entity_id", "side", "term", F.lit(1.0).alias("tier"))
     found = index.where("side <> 'whole'").join(near, ["token", "part"]).select("entity_id", "side", "term", "tier").union(wholes)
 
     def best(side: str) -> Column:
@@ -61,26 +62,26 @@ def matches(terms: DataFrame, entities: DataFrame) -> DataFrame:
     return found.groupBy("entity_id", "term").agg(best("whole").alias("whole"), best("name").alias("name_tier"), best("path").alias("path_tier"))
 
 
-def document_frequency(terms: DataFrame, entities: DataFrame) -> DataFrame:
-    """(task, term, df): entities whose name or symbol path matches the term, once per time the term stands in the list."""
-    hits = matches(terms, entities).where("name_tier > 0 OR path_tier > 0").groupBy("term").agg(F.count(F.lit(1)).alias("k"))
+def document_frequency(terms: DataFrame, entities: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(task, term, df): entities whose name or symbol path matches the term, once per time the term stands in the list; ``found``: their ``matches``, if known."""
+    hits = (matches(terms, entities) if found is None else found).where("name_tier > 0 OR path_tier > 0").groupBy("term").agg(F.count(F.lit(1)).alias("k"))
     return terms.join(hits, "term", "left").select("task", "term", F.coalesce(F.col("k") * F.col("times"), F.lit(0)).alias("df"))
 
 
-def term_weights(terms: DataFrame, entities: DataFrame, damping: float = DAMPING, once: bool = False) -> DataFrame:
+def term_weights(terms: DataFrame, entities: DataFrame, damping: float = DAMPING, once: bool = False, found: DataFrame | None = None) -> DataFrame:
     """(task, term, weight): 1 + damping * ln((N + 1) / (df + 1)). ``once`` counts a repeated term once."""
     counted = terms.withColumn("times", F.lit(1).cast("long")) if once else terms
     n = entities.agg(F.count(F.lit(1)).alias("total"))
     weight = 1 + damping * F.log((F.col("total") + 1) / (F.col("df") + 1))
-    return document_frequency(counted, entities).crossJoin(n).select("task", "term", weight.alias("weight"))
+    return document_frequency(counted, entities, found).crossJoin(n).select("task", "term", weight.alias("weight"))
 
 
-def scores(terms: DataFrame, weights: DataFrame, entities: DataFrame) -> DataFrame:
+def scores(terms: DataFrame, weights: DataFrame, entities: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """(task, entity_id, score > 0): whole names count ten, name words three, path words one weight each."""
     weighted = terms.select("task", "term").join(weights, ["task", "term"], "left").withColumn("w", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0))
     w = F.col("w")
     point = F.when(F.col("whole") > 0, 10 * w).when(F.col("name_tier") > 0, 3 * w * F.col("name_tier")).otherwise(w * F.col("path_tier"))
-    hits = matches(terms, entities).join(weighted, "term").select("task", "entity_id", point.alias("p")).where("p > 0")
+    hits = (matches(terms, entities) if found is None else found).join(weighted, "term").select("task", "entity_id", point.alias("p")).where("p > 0")
     return hits.groupBy("task", "entity_id").agg(F.sum("p").alias("score"))
 
 
