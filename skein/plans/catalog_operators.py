@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.operators import aggregate, graph, resolve, search, similar
@@ -163,6 +164,10 @@ def counts_merged(spark, sf_dir):
 # --- similarity
 
 
+#: Orders whose behaviours are compared in one place.
+_BLOCK = 512
+
+
 @query(f"""{WITH}, acts AS (SELECT src, list_distinct(list(e.kind || ':' || coalesce(t.name, dst))) AS act FROM edges e LEFT JOIN entities t ON t.entity_id = dst WHERE src LIKE 'orders:%' GROUP BY 1),
 p AS (SELECT a.src AS a, b.src AS b, CAST(replace(a.src, 'orders:', '') AS BIGINT) % 101 / 100.0 AS s, len(list_intersect(a.act, b.act)) AS shared, len(list_distinct(list_concat(a.act, b.act))) AS every
   FROM acts a JOIN acts b ON CAST(replace(b.src, 'orders:', '') AS BIGINT) = CAST(replace(a.src, 'orders:', '') AS BIGINT) + 1)
@@ -170,10 +175,14 @@ SELECT a, b, round(0.6 * s + 0.4 * shared / every, 9) AS overall FROM p""")
 def combined_scores(spark, sf_dir):
     """Behaviour and a structural score of neighbouring orders, combined."""
     acts = aggregate.behaviours(tables.edges(spark, sf_dir), tables.entities(spark, sf_dir)).where("entity_id LIKE 'orders:%'")
-    number = F.substring_index("entity_id", ":", -1).cast("long")
-    a = acts.select(F.col("entity_id").alias("a"), F.col("behaviour").alias("act_a"), number.alias("n"))
-    b = acts.select(F.col("entity_id").alias("b"), F.col("behaviour").alias("act_b"), (number - 1).alias("n"))
-    return a.join(b, "n").select("a", "b", F.round(similar.overall(F.col("n") % 101 / 100, F.col("act_a"), F.col("act_b")), 9).alias("overall"))
+    # neighbours stand in one block of numbers, at whose end the first of the next one stands too, so behaviours move once
+    n, block = F.col("n"), F.floor(F.col("n") / _BLOCK)
+    numbered = acts.select(F.substring_index("entity_id", ":", -1).cast("long").alias("n"), F.col("behaviour").alias("act"))
+    dealt = numbered.withColumn("block", F.explode(F.when(n % _BLOCK == 0, F.array(block, block - 1)).otherwise(F.array(block))))
+    after = F.lead(F.struct("n", "act")).over(Window.partitionBy("block").orderBy("n"))
+    pairs = dealt.withColumn("b", after).where(F.col("b.n") == n + 1)
+    name = lambda x: F.concat(F.lit("orders:"), x.cast("string"))
+    return pairs.select(name(n).alias("a"), name(F.col("b.n")).alias("b"), F.round(similar.overall(n % 101 / 100, F.col("act"), F.col("b.act")), 9).alias("overall"))
 
 
 @query("""
