@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm._runs import run_bounds, runs
+from skein.llm._runs import run_bounds, runs, trimmed
 from skein.llm._store import free_shuffles, materialize, partitions
 from skein.llm._words import mix64, slices, word_hashes
 from skein.session import table
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, training: Column) -> DataFrame:
         if kept:
             yield packed()
 
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(trimmed(run), PIECES)
 
 
 @dataclass
@@ -211,9 +211,9 @@ def _sums(made: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
                     ["piece", "order", "bucket", "size", "counts"],
                 )
 
-    asked = made.select("piece", "bounds", "words", "tokens", "taught").mapInArrow(ask, "bucket long, piece long, keys binary, counts binary")
+    asked = made.select("piece", "bounds", "words", "tokens", "taught").mapInArrow(trimmed(ask), "bucket long, piece long, keys binary, counts binary")
     dealt = asked.repartition(partitions(made.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(answer, "piece long, order int, bucket long, size long, counts binary")
+    return dealt.mapInArrow(trimmed(answer), "piece long, order int, bucket long, size long, counts binary")
 
 
 @dataclass
@@ -307,7 +307,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                     ["doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    out = rows.mapInArrow(walk, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    out = rows.mapInArrow(trimmed(walk), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
