@@ -1,6 +1,6 @@
 """From files to facts: one nested row per file, in parallel over files.
 
-An extractor is ``extract(repo, file, source)``. A file that fails, takes over
+An extractor is ``extract(repo, file, source, lists)``. A file that fails, takes over
 five seconds, or has too large a share of errors (unmatched brackets; in Python
 statements that don't parse) yields a row with ``parse_error`` and no
 facts, and costs nobody else anything.
@@ -9,6 +9,7 @@ facts, and costs nobody else anything.
 from __future__ import annotations
 
 import contextlib
+import gc
 import signal
 import threading
 from collections.abc import Iterator
@@ -20,13 +21,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from skein.functions.identity import sha_hex
 from skein.operators.extract import cs, go, py, ts
+from skein.operators.extract.lexer import LISTS
 from skein.schemas import FACTS
 
 EXTRACTORS = {"ts": ts.extract, "go": go.extract, "cs": cs.extract, "py": py.extract}
 MOST_ERRORS, MOST_SECONDS = 0.10, 5.0
 #: Files whose facts leave a worker together.
 MOST_ROWS = 500
-LISTS = ("entities", "refs", "imports", "reexports", "ext_methods", "field_types")
 
 
 class _TooSlow(Exception):
@@ -52,11 +53,24 @@ def _at_most(seconds: float):
         signal.signal(signal.SIGALRM, before)
 
 
-def facts_of(repo: str, file: str, lang: str, content: bytes) -> dict:
+@contextlib.contextmanager
+def _no_collection():
+    """Facts and syntax trees are many small objects without cycles: looking for cycles while they are made finds none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+def facts_of(repo: str, file: str, lang: str, content: bytes, lists: tuple[str, ...] = LISTS) -> dict:
+    """The row of a file; an extractor leaves out what only lists other than ``lists`` need."""
     row = {"file": file, "lang": lang, "parse_error": None, "error_ratio": 0.0, "content_hash": sha_hex(content), **{k: [] for k in LISTS}}
     try:
         with _at_most(MOST_SECONDS):
-            found = EXTRACTORS[lang](repo, file, content.decode(errors="replace"))
+            found = EXTRACTORS[lang](repo, file, content.decode(errors="replace"), lists)
         if not isinstance(found, dict):
             row["error_ratio"] = found.error_ratio
             if found.error_ratio > MOST_ERRORS:
@@ -77,8 +91,11 @@ def extract_facts(files: DataFrame, repo: str, lists: tuple[str, ...] = LISTS) -
         for batch in batches:
             for first in range(0, batch.num_rows, MOST_ROWS):
                 part = batch.slice(first, MOST_ROWS)
-                rows = [facts_of(repo, *f) for f in zip(*(part.column(c).to_pylist() for c in ("rel_path", "lang", "content")), strict=True)]
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                with _no_collection():
+                    rows = [facts_of(repo, *f, lists) for f in zip(*(part.column(c).to_pylist() for c in ("rel_path", "lang", "content")), strict=True)]
+                    found = pa.RecordBatch.from_pylist(rows, schema)
+                    del rows
+                yield found
 
     return files.select("rel_path", "lang", "content").mapInArrow(run, facts)
 
